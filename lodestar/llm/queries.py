@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lang_id, packing, simhash_dedup, token_counts
+from . import chat, class_lm, decontaminate, exact_dedup, lang_id, packing, simhash_dedup, suffix_dedup, token_counts, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -22,6 +22,26 @@ def _remainder(by: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % by
 
 
+#: (verdict, host, path) of the URL rules.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = class_lm.fit(docs.where(_remainder(7) != 2))
+    return class_lm.score(docs, model, also={"held_out": _remainder(7) == 2})
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    model = url_filter.train(url_filter.labelled_by(pages, URL_RULES), "url", "blocked")
+    return url_filter.judge(pages, URL_RULES, model)
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -38,6 +58,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(_table(spark, sf_dir, "conversations"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = lang_id.train(docs.where(_remainder(5) != 0))
@@ -48,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_decontamination, op6_packing, op7_simhash, op9_language_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_class_lm, op2_url_filter, op3_suffix_dedup, op4_exact_dedup, op5_decontamination, op6_packing, op7_simhash, op8_chat_repair, op9_language_id, op10_token_counts)}
 
 ORACLE = {
     "op4_exact_dedup": """

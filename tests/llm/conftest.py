@@ -21,9 +21,9 @@ ODD = [(1, None), (2, ""), (3, " \n"), (4, "One two three four"), (4, "One two t
 
 @pytest.fixture
 def odd(make):
-    return make(ODD)
+    return make(ODD, "odd")
 
 
 @pytest.fixture
 def empty(make):
-    return make([])
+    return make([], "empty")

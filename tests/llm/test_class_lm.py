@@ -1,0 +1,68 @@
+"""The class model: exact base scores, a proper distribution, and gain on held-out text."""
+
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.llm import class_lm
+
+from .conftest import ODD
+
+
+def tokens(t):
+    return re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) + [None]
+
+
+def held_to_base(rows, train, out):
+    c = Counter(x for t in train for x in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted(((str(i), len(k := tokens(t)), sum(c[x] > 0 for x in k), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in k), 6)) for i, t in rows))
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
+
+
+@pytest.mark.parametrize("looked_up", [65_536, 2, 0])
+def test_odd(make, odd, looked_up):
+    train = [t for _, t in ODD] + ["one two two", "x y z é"]
+    model = class_lm.fit(make([(i, t) for i, t in enumerate(train)], "train"), classes=4, frequent=3, tails=5, looked_up=looked_up)
+    held_to_base(ODD, train, class_lm.score(odd, model).collect())
+
+
+def test_untrained(odd, empty):
+    model = class_lm.fit(empty)
+    held_to_base(ODD, [], class_lm.score(odd, model).collect())
+    assert class_lm.score(empty, model).count() == 0
+
+
+def test_one_step_sums_to_one(make):
+    train = ["a b c a b", "b c a", "c c d"]
+    model = class_lm.fit(make(list(enumerate(train)), "train"), classes=3, frequent=2, tails=3)
+    words = ["a", "b", "c", "d"]
+    out = {r.doc_id: r.score for r in class_lm.score(make([(i, w) for i, w in enumerate(words)] + [(9, None)]), model).collect()}
+    c = Counter(x for t in train for x in tokens(t))
+    after = lambda w: (model.classes[model.known[w][1]] if w else 0)
+    step = lambda v, w: model.table[after(v), after(w)] + math.log10(c[w] + 1)
+    for i, w in enumerate(words):
+        assert out[i] == pytest.approx(step(None, w.encode()) + step(w.encode(), None))
+    assert sum(10 ** step(None, w.encode()) for w in words) + 10 ** step(None, None) < 1
+
+
+def test_exchange_finds_classes():
+    r = np.random.default_rng(0)
+    kinds = np.array([0, 1] * 10 + [2])
+    pairs = np.zeros((21, 21))
+    for a, b in r.integers(0, 20, (4000, 2)):
+        if kinds[a] != kinds[b]:
+            pairs[a, b] += 1
+    of = class_lm.exchange(pairs, 3)
+    assert len(set(of[:20:2])) == 1 and len(set(of[1:20:2])) == 1 and of[20] == 0 and of[0] != of[1]
+
+
+def test_held_out_gain(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    out = class_lm.score(docs.where(held), class_lm.fit(docs.where(~held))).agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > out[1]

@@ -1,0 +1,73 @@
+"""Repeated strings against brute force."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lodestar.llm import suffix_dedup
+
+from .conftest import ODD
+
+
+def brute(rows, length):
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(t[a : a + length] for t in texts for a in range(len(t) - length + 1))
+    out = []
+    for (i, _), t in zip(rows, texts, strict=True):
+        gone = np.zeros(len(t) + 1, bool)
+        for a in range(len(t) - length + 1):
+            if seen[t[a : a + length]] > 1:
+                gone[a : a + length] = True
+        kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
+        spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        out.append((i, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def got(table, length, **k):
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(table, length, **k).collect()), key=str)
+
+
+def test_suffix_array_and_prefixes():
+    r = random.Random(1)
+    for _ in range(30):
+        parts = [bytes(r.choice(b"ab\0") for _ in range(r.randrange(1, 40))) for _ in range(r.randrange(1, 9))]
+        t = np.frombuffer(b"".join(parts), np.uint8)
+        size = np.array([len(p) for p in parts])
+        stop = np.cumsum(size)
+        seg = np.repeat(np.arange(len(parts)), size)
+        sa, rank = suffix_dedup.suffix_array(t, stop[seg], seg)
+        whole = t.tobytes()
+        want = sorted(range(len(t)), key=lambda i: (whole[i : stop[seg[i]]], seg[i]))
+        assert sa.tolist() == want and rank[sa].tolist() == list(range(len(t)))
+        lcp = suffix_dedup.common_prefixes(t, stop[seg], stop - size, sa, rank)
+        for a, b in zip(want, want[1:], strict=False):
+            x, y = whole[a : stop[seg[a]]], whole[b : stop[seg[b]]]
+            n = 0
+            while n < min(len(x), len(y)) and x[n] == y[n]:
+                n += 1
+            assert lcp[b] == n
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 400])
+def test_repeats(make, limit):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(1, 9)))
+    shared = [" ".join(word() for _ in range(r.randrange(8, 40))) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(r.randrange(0, 30)))]
+        for _ in range(r.randrange(0, 3)):
+            s = r.choice(shared)
+            parts += [s[r.randrange(len(s) // 2) :], word()]
+        rows.append((i, " ".join(parts)))
+    rows += [(100, rows[3][1]), (101, rows[3][1]), (102, "a" * 300), (103, "xy" * 100), (104, "q" * 64), (105, "q" * 65 + "p"), (None, None)]
+    assert got(make(rows), 64, limit=limit) == brute(rows, 64)
+
+
+def test_odd(odd, empty):
+    assert got(odd, 200) == brute(ODD, 200)
+    assert got(empty, 200) == []
