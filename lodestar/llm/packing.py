@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, id_col: str, text_col: s
     def encode(batches):
         for batch in batches:
             rows = []
-            for i, ids in enumerate(ids_each([b.decode("utf-8", "replace") for b in batch.column(1).to_pylist()], vocabulary)):
+            for i, ids in enumerate(ids_each(batch.column(1).to_pylist(), vocabulary)):
                 ids += b"\0\0\0\0"
                 for k, x in enumerate(range(0, len(ids), 4 * size)):
                     rows.append((i, k, x // 4, len(part := ids[x : x + 4 * size]) // 4, zlib.crc32(part)))

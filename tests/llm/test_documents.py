@@ -58,7 +58,7 @@ def test_empty_tables(spark, empty, make):
 
 def texts(n, seed=1):
     r = random.Random(seed)
-    bits = ["hello", " ", "  ", "\n", "\t", "é", "don't", "123", "!?", "<|endoftext|>", "日本", " ", "\x1c", "ab", " a", "'s", "́", "Σ"]
+    bits = ["hello", ".", "...", "end.", "É.", "×.", "don't.", "THE,", "<|startoftext|>", "<|ENDOFTEXT|>", "-x", " ", "  ", "\n", "\t", "é", "don't", "123", "!?", "<|endoftext|>", "日本", " ", "\x1c", "ab", " a", "'s", "́", "Σ"]
     return ["".join(r.choice(bits) for _ in range(r.randrange(200))) for _ in range(n)]
 
 
@@ -68,9 +68,19 @@ def test_pieces_equal_the_library(path):
     many = texts(300)
     want = [e.ids for e in tok.encode_batch(many, add_special_tokens=False)]
     if path == BYTE:
-        assert count_each(many, path, 64, 8) == [len(x) for x in want]
+        assert count_each([t.encode() for t in many], path, 1 << 20, 8) == count_each([t.encode() for t in many], path, 64, 8) == [len(x) for x in want]
     else:
-        assert [np.frombuffer(b, "<u4").tolist() for b in ids_each(many, path)] == want
+        assert [np.frombuffer(b, "<u4").tolist() for b in ids_each([t.encode() for t in many], path)] == want
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_documents_equal_the_library(path):
+    import pyarrow.parquet as pq
+
+    many = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    want = [e.ids for e in tokenizer(path).encode_batch(many, add_special_tokens=False)]
+    raw = [t.encode() for t in many]
+    assert [len(x) for x in want] == count_each(raw, path, 16_384, 256) if path == BYTE else [np.frombuffer(b, "<u4").tolist() for b in ids_each(raw, path)] == want
 
 
 def test_spliced_equals_whole():
