@@ -269,9 +269,10 @@ def repeated_stretches(texts: DataFrame, length: int, limit: int = SHARD) -> Dat
     """(row, from, to): byte ranges of texts that strings of `length` bytes with another start cover."""
     found = _all_runs(texts, length)
     distinct = found.groupBy("key", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"), F.first("row").alias("row"), F.first("at").alias("at"), F.first("starts").alias("starts"))
-    keys = found.groupBy("key").agg(F.sum("weight").alias("all")).where("all > 1").select("key")
+    # Cut first, so that either side of the joins below is an exchange, which hot keys can be split from.
+    keys = cut(found.groupBy("key").agg(F.sum("weight").alias("all")).where("all > 1").select("key"))
     distinct = cut(distinct.join(keys, "key", "left_semi"))
-    alone = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.max("weight").alias("most")).where("texts = 1 and most = 1").select("key")
+    alone = cut(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.max("weight").alias("most")).where("texts = 1 and most = 1").select("key"))
     # A run that is repeated as a whole repeats at each start; it needs a shard only for what else has its key.
     whole = distinct.where("n > 1").select("key", "d1", "d2", F.lit(0).cast("long").alias("a"), F.col("starts").alias("z"))
     wanted = distinct.join(alone, "key", "left_anti").select("key", "d1", "d2", "row", "at", "starts")
