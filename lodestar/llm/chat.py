@@ -12,8 +12,12 @@ order, give the state in which each chunk begins, and chunks are then repaired a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +65,7 @@ def chunk_costs(roles: list[int | None]) -> np.ndarray:
     return at
 
 
-def repair(roles: list[int | None], begin: int, end: int | None) -> list[tuple[int, int, int]]:
+def repair(roles: Sequence[int | None], begin: int, end: int | None) -> list[tuple[int, int, int]]:
     """(role, how, inserted role) for each message on the cheapest way from begin to end (None: any)."""
     cost = [np.inf] * 4
     cost[begin] = 0.0
@@ -82,11 +86,43 @@ def repair(roles: list[int | None], begin: int, end: int | None) -> list[tuple[i
     return out[::-1]
 
 
+#: Conversations of few messages have few sequences of roles, so their repairs are remembered.
+SHORT = 16
+_remembered = lru_cache(maxsize=1 << 15)(lambda roles: repair(roles, START, None))
+
+
 def _open(role: int) -> str:
     return f"<|im_start|>{ROLES[role]}\n"
 
 
 CLOSE = "<|im_end|>\n"
+#: Rows and characters after which a worker hands on what it has rendered.
+ROWS, SIZE = 20_000, 8_000_000
+
+
+def _same(a, b) -> bool:
+    """Whether two keys are equal; nulls are, and so are NaNs."""
+    return a == b or (a != a and b != b)
+
+
+def _rendered(messages: list[tuple], edge: tuple | None, part: int):
+    """The output rows, less the conversation, of a chunk's (turn, role, text) messages in order.
+
+    edge is (begin, end, final) for a chunk of several, None for a whole conversation.
+    """
+    begin, end, final = edge or (START, None, True)
+    roles = tuple(_role(m[1]) for m in messages)
+    steps = _remembered(roles) if edge is None and len(roles) <= SHORT else repair(roles, begin, end)
+    seq, state, last = part << 20 if edge else 0, begin, len(steps) - 1
+    for i, ((new, how, between), (turn, source, text)) in enumerate(zip(steps, messages, strict=True)):
+        if how == 2:
+            yield seq, turn, ROLES[between], None, "insert", INSERT, (CLOSE if state != START else "") + _open(between)
+            seq, state = seq + 1, between
+        own = roles[i] == new
+        lead = "\n" if how == 1 else (CLOSE if state != START else "") + _open(new)
+        action = NAMES[how if how == 1 else 0] + ("" if own else "+relabel")
+        yield seq, turn, ROLES[new], source, action, (MERGE if how == 1 else 0.0) + (0.0 if own else RELABEL), lead + text + (CLOSE if final and i == last else "")
+        seq, state = seq + 1, new
 
 
 def repaired(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -128,33 +164,48 @@ def repaired(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
 
     matrices = several.select("conv", "part", *order).groupBy("conv", "part").applyInPandas(costs, f"conv {kind}, part long, costs array<double>")
     edges = matrices.groupBy("conv").applyInPandas(states, f"conv {kind}, part long, begin int, end int, final boolean")
-    edges = edges.select(F.col("conv").alias("conv_"), F.col("part").alias("part_"), "begin", "end", "final")
-    known = rows.join(edges, rows["conv"].eqNullSafe(edges["conv_"]) & (rows["part"] == edges["part_"]), "left").drop("conv_", "part_")
-
-    def mend(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, na_position="first")
-        begin, end, final = frame["begin"].iloc[0], frame["end"].iloc[0], frame["final"].iloc[0]
-        whole = pd.isna(begin)
-        begin, end, final = (START, None, True) if whole else (int(begin), int(end), bool(final))
-        steps = repair([_role(r) for r in frame["role"]], begin, end)
-        out, state = [], begin
-        part = 0 if whole else int(frame["part"].iloc[0])
-        for (new, how, between), t, source, text in zip(steps, frame["turn"], frame["role"], frame["text"], strict=True):
-            t = None if pd.isna(t) else int(t)
-            if how == 2:
-                out.append((t, ROLES[between], None, "insert", INSERT, (CLOSE if state != START else "") + _open(between)))
-                state = between
-            same = _role(source) == new
-            lead = "\n" if how == 1 else (CLOSE if state != START else "") + _open(new)
-            out.append((t, ROLES[new], None if pd.isna(source) else source, NAMES[how if how == 1 else 0] + ("" if same else "+relabel"), (MERGE if how == 1 else 0.0) + (0.0 if same else RELABEL), lead + text))
-            state = new
-        if final:
-            out[-1] = (*out[-1][:-1], out[-1][-1] + CLOSE)
-        got = pd.DataFrame(out, columns=["turn", "role", "source_role", "action", "cost", "rendered"])
-        got["turn"] = got["turn"].astype("Int64")
-        got.insert(0, "seq", (part << 20) + np.arange(len(got)))
-        got.insert(0, "conv", [frame["conv"].iloc[0]] * len(got))
-        return got
-
-    out = known.groupBy("conv", "part").applyInPandas(mend, f"conv {kind}, seq long, turn long, role string, source_role string, action string, cost double, rendered string")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("begin", "int"), ("end", "int"), ("final", "boolean"))]
+    heads = edges.select("conv", "part", F.lit(0).alias("after"), *[F.lit(None).cast(t).alias(c) for c, t in (("turn", "long"), ("role", "string"), ("text", "string"))], "begin", "end", "final")
+    # One exchange: where a chunk begins and ends comes in as a row before its messages.
+    dealt = rows.select("conv", "part", F.lit(1).alias("after"), *order, *nothing).union(heads).repartition("conv", "part").sortWithinPartitions("conv", "part", "after", *order)
+
+    def mend(batches):
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
+        names = ["conv", "seq", "turn", "role", "source_role", "action", "cost", "rendered"]
+        convs, out, size, conv_type = [], [], 0, None
+        conv, part, edge, held = None, None, None, []
+
+        def close():
+            nonlocal size
+            for row in _rendered(held, edge, part):
+                convs.append(conv)
+                out.append(row)
+                size += len(row[-1])
+
+        def handed():
+            nonlocal convs, out, size
+            cols = list(zip(*out, strict=True))
+            batch = pa.RecordBatch.from_arrays([pa.array(convs, conv_type), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+            convs, out, size = [], [], 0
+            return batch
+
+        for batch in batches:
+            conv_type = batch.schema.field(0).type
+            for c, p, after, turn, role, text, begin, end, final in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if part is None or p != part or not _same(c, conv):
+                    if held:
+                        close()
+                        if len(out) > ROWS or size > SIZE:
+                            yield handed()
+                    conv, part, edge, held = c, p, None, []
+                if after:
+                    held.append((turn, role, text))
+                else:
+                    edge = begin, end, final
+        if held:
+            close()
+        if out:
+            yield handed()
+
+    out = dealt.mapInArrow(mend, f"conv {kind}, seq long, turn long, role string, source_role string, action string, cost double, rendered string")
     return out.withColumnRenamed("conv", conv_col)
