@@ -146,7 +146,7 @@ def repaired(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     several = rows.join(spread, rows["conv"].eqNullSafe(spread["conv"]), "left_semi")
 
     def costs(key, frame: pd.DataFrame) -> pd.DataFrame:
-        roles = frame.sort_values(order, na_position="first")["role"]
+        roles = frame.sort_values(["turn", "role"], na_position="first")["role"]
         return pd.DataFrame({"conv": frame["conv"].iloc[:1], "part": frame["part"].iloc[:1], "costs": [chunk_costs([_role(r) for r in roles]).ravel().tolist()]})
 
     def states(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +162,8 @@ def repaired(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
         ends = ends[::-1]
         return pd.DataFrame({"conv": frame["conv"], "part": frame["part"], "begin": ends[:-1], "end": ends[1:], "final": [False] * (len(frame) - 1) + [True]})
 
-    matrices = several.select("conv", "part", *order).groupBy("conv", "part").applyInPandas(costs, f"conv {kind}, part long, costs array<double>")
+    # Texts only order messages of equal turn and role, which costs do not tell apart.
+    matrices = several.select("conv", "part", "turn", "role").groupBy("conv", "part").applyInPandas(costs, f"conv {kind}, part long, costs array<double>")
     edges = matrices.groupBy("conv").applyInPandas(states, f"conv {kind}, part long, begin int, end int, final boolean")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("begin", "int"), ("end", "int"), ("final", "boolean"))]
     heads = edges.select("conv", "part", F.lit(0).alias("after"), *[F.lit(None).cast(t).alias(c) for c, t in (("turn", "long"), ("role", "string"), ("text", "string"))], "begin", "end", "final")
