@@ -69,6 +69,18 @@ def test_odd_conversations(spark):
     assert chat.repaired(table(spark, [])).count() == 0
 
 
+def test_conversations_across_batches(spark):
+    r = random.Random(8)
+    rows = [(c, t, r.choice(["user", "assistant", "system", None]), f"t{t}") for c, n in ((1, 40), (2, 1), (None, 9), (3, 20), (4, 1)) for t in range(n)]
+    want = sorted(map(str, chat.repaired(table(spark, rows), chunk=8).collect()))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "3")
+    try:
+        assert sorted(map(str, chat.repaired(table(spark, rows), chunk=8).collect())) == want
+    finally:
+        spark.conf.unset(key)
+
+
 def split(url):
     if url is None or "://" not in url:
         return "", ""

@@ -124,6 +124,13 @@ def test_packing(odd, per_bucket):
     assert n == -(-sum(k[3] * c for k, c in want.items()) // 64)
 
 
+def test_plan_is_by_bin_completion_where_best_fit_is_as_good():
+    counts = {9: 2, 7: 3, 6: 4, 5: 5, 3: 6, 2: 4, 1: 9}
+    plain, completed = packing._patterns(counts, 10, False), packing._patterns(counts, 10, True)
+    assert sum(t for t, _ in plain) == sum(t for t, _ in completed) == -(-sum(n * c for n, c in counts.items()) // 10)
+    assert packing.bin_patterns(counts, 10) == completed
+
+
 def test_bin_completion_beats_best_fit():
     counts = {6: 1, 5: 2, 4: 3, 3: 2, 2: 1}  # 36 in tens: at least 4
     found = packing.bin_patterns(counts, 10)
