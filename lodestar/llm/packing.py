@@ -93,17 +93,19 @@ def _patterns(counts: dict[int, int], size: int, completed: bool) -> list[tuple[
 
 
 def bin_patterns(counts: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(how many sequences, [(length, how many)])]: the better of bin completion and best fit decreasing.
+    """[(how many sequences, [(length, how many)])] by bin completion.
 
-    Each step uses its filling as often as the histogram allows, so it uses up a length (or
-    nearly so) and the number of steps follows the number of lengths, not of documents.
+    Each filling has best fit as its incumbent. Each step uses its filling as often as the
+    histogram allows, so it uses up a length (or nearly so) and the number of steps follows
+    the number of lengths, not of documents. Best fit decreasing over all is the incumbent
+    of the whole plan, and looked at only where completion does not reach the lower bound.
     """
-    plain = _patterns(counts, size, False)
-    used = sum(t for t, _ in plain)
+    found = _patterns(counts, size, True)
+    used = sum(t for t, _ in found)
     if used <= -(-sum(n * c for n, c in counts.items()) // size):
-        return plain  # as few as the tokens allow
-    better = _patterns(counts, size, True)
-    return better if sum(t for t, _ in better) < used else plain
+        return found  # as few as the tokens allow
+    plain = _patterns(counts, size, False)
+    return plain if sum(t for t, _ in plain) < used else found
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int, id_col: str, text_col: str) -> DataFrame:
