@@ -5,7 +5,8 @@ have equal keys, so neighbouring starts with one key make a run, and only runs w
 comes up again can hold a repeat. Equal runs are one row. Shards gather the runs of whole
 keys, so equal strings meet in a shard: its suffix array (Larsson-Sadakane refinement) and
 common prefixes (Kasai) say which starts repeat. A key too large for one shard is spread
-over several, and their sorted strings are merged by binary search.
+over several, and the strings of its shards are merged by a join on 128-bit digests rather
+than by binary search, which would gather all shards of the key in one task.
 """
 
 from __future__ import annotations
