@@ -57,19 +57,20 @@ def _complete(left: dict[int, int], lengths: list[int], largest: int, room: int)
 
     def search(i: int, space: int, taken: list[tuple[int, int]]) -> bool:
         nonlocal best, waste, steps
-        steps += 1
-        if space < waste:
-            best, waste = list(taken), space
-        if not waste or steps > STEPS:
-            return True
-        i = max(i, bisect_left(falling, -space))
-        if i >= len(have) or space < smallest or space - rest[i] >= waste:
-            return False
-        n, k = have[i]
-        for take in range(min(k, space // n), -1, -1):
-            if search(i + 1, space - take * n, [*taken, (n, take)] if take else taken):
+        while True:  # a length left out is the next turn, not a deeper call
+            steps += 1
+            if space < waste:
+                best, waste = list(taken), space
+            if not waste or steps > STEPS:
                 return True
-        return False
+            i = max(i, bisect_left(falling, -space))
+            if i >= len(have) or space < smallest or space - rest[i] >= waste:
+                return False
+            n, k = have[i]
+            for take in range(min(k, space // n), 0, -1):
+                if search(i + 1, space - take * n, [*taken, (n, take)]):
+                    return True
+            i += 1
 
     search(0, room, [])
     return best
