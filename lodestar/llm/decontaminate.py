@@ -1,8 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact similarity.
 
 DataFrame operations only. A window that is as similar to an item as asked shares most of
-its shingles, so windows are laid only where documents share enough shingles with an item;
-that loses none. Each such window and each item gets a SimHash over its weighted shingles.
+its shingles, so windows are laid only where documents share enough shingles with an item.
+They begin at a shared shingle: a window that does not is no better than the one that
+begins at its first shared shingle (or ends with the text), which holds the same shared
+ones. So neither rule loses a passage, moved or reordered as it may be. Each such window and each item gets a SimHash over its weighted shingles.
 The fingerprint is cut into one block more than the radius has bits, so any two within the
 radius agree in a block: an equality join on blocks finds them all. The exact weighted
 Jaccard similarity of their shingles then decides.
@@ -20,8 +22,6 @@ from .common import cut
 
 #: Rows up to which one side of a join is sent to every executor.
 SMALL = 200_000
-#: How far from the line on which a shared shingle lies windows are tried, in words.
-SLACK = 2
 
 
 def _words(text: str) -> Column:
@@ -76,19 +76,20 @@ def _matches(docs: DataFrame, benchmark: DataFrame, words: int, similarity: floa
 
     hits = None
     for k in lengths:
-        own = items.where(F.col("k") == k).select("item", "it", "len", F.posexplode(_hashes(F.col("w"), k)).alias("at", "hash"))
+        own = items.where(F.col("k") == k).select("item", "it", "k", "len", F.explode(F.array_distinct(_hashes(F.col("w"), k))).alias("hash"))
         seen = texts.select("row", F.size("w").alias("n"), F.posexplode(_hashes(F.col("w"), k)).alias("pos", "hash"))
-        met = seen.join(_small(own), "hash").withColumn("least", F.ceil(F.lit(similarity) * (F.col("len") - k + 1)))
+        met = seen.join(_small(own), "hash")
         hits = met if hits is None else hits.union(met)
     if hits is None:
         return docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("id"), F.lit(0).alias("item"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity")).limit(0)
-    hits = cut(hits.groupBy("row", "n", "item", "it", "len", "least", (F.col("pos") - F.col("at")).alias("line")).agg(F.count(F.lit(1)).alias("hits")))
-    # Pairs with fewer shared shingles than any similar window has are out.
-    pairs = hits.groupBy("row", "item", "it").agg(F.sum("hits").alias("all"), F.max("least").alias("most")).where("all >= most").select("row", "item", "it")
-    lines = hits.join(pairs, ["row", "item", "it"], "left_semi")
+    met = hits.groupBy("row", "n", "item", "it", "len", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))  # no more places than the text has
     size = F.least("len", "n")
-    starts = lines.select("row", "item", "it", size.alias("size"), F.explode(F.sequence(F.col("line") - SLACK, F.col("line") + SLACK)).alias("s"), (F.col("n") - size).alias("last"))
-    starts = cut(starts.select("row", "item", "it", "size", F.greatest(F.lit(0), F.least("s", "last")).alias("start")).distinct())
+    # With a and b shingles, x of them shared: x / (a + b - x) reaches the similarity from here on. The margin is for rounding.
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (size + F.col("len") - 2 * F.col("k") + 2) - 1e-6).cast("int")
+    met = met.select("row", "item", "it", "k", "at", size.alias("size"), (F.col("n") - size).alias("last"), F.greatest(F.lit(1), least).alias("least")).where("size(at) >= least")
+    dense = F.filter("at", lambda p, i: F.get("at", i + F.col("least") - 1) <= p + F.col("size") - F.col("k"))
+    starts = met.select("row", "item", "it", "size", F.explode(F.array_distinct(F.transform(dense, lambda p: F.least(p, "last")))).alias("start"))
+    starts = cut(starts)
 
     k = F.least(F.col("size"), F.lit(words))
     windows = texts.join(_small(starts), "row").select("row", "id", "item", "it", "start", "size", F.slice("w", F.col("start") + 1, F.col("size")).alias("w"))
@@ -112,8 +113,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
 
     A passage is a window of as many words as the item has (or the whole of a shorter
     document); its weighted Jaccard similarity over shingles of `words` words is at least
-    `similarity`. One row per document row and item, at the best window (the first of equal
-    ones). An item of fewer words than a shingle is one shingle; items and texts without
+    `similarity`. One row per document row and item, at the best window that begins at a
+    shared shingle or ends with the text (the first of equal ones). An item of fewer words than a shingle is one shingle; items and texts without
     words (null or empty) match nothing. Repeated documents each have their row; repeated
     items count once; null ids are carried. Other columns are ignored. docs must be a
     stored table, whose rows are in the same places each time it is read.

@@ -295,3 +295,25 @@ def test_decontamination(make):
     assert got == pytest.approx(want) and len(want) > 30
     bad = {i for i, _ in want}
     assert sorted(x.doc_id for x in decontaminate.drop_contaminated(docs, bench).where("doc_id is not null").collect()) == sorted(i for i, _ in rows if i is not None and i not in bad)
+
+
+def test_reordered_passages(make):
+    """Halves that changed places, and words put in between: no shared shingle lies where the window begins."""
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    item = words(80)
+    moved, spread = item[40:] + item[:40], item[:40] + ["new"] * 4 + item[40:]
+    rows = [(k, " ".join(words(50) + body + words(50))) for k, body in enumerate((moved, spread, item, item[:30], item[::-1]))] + [(9, " ".join(item * 20))]
+    items = [(1, " ".join(item)), (2, " ".join(item[:12] * 3))]
+    bench = make(items, "bench").select(F.col("doc_id").alias("item_id"), "text")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.contaminated(make(rows), bench).collect()}
+    want = brute_leaks(rows, items)
+    assert got == pytest.approx(want) and {(0, 1), (1, 1), (2, 1), (9, 1)} <= set(want)
+
+
+def test_bin_completion_is_not_deep():
+    """As many lengths as may be left out one after the other do not exhaust the call stack."""
+    size = 32768
+    counts = dict.fromkeys(range(size // 3, size // 2 + size // 8), 1)
+    found = packing.bin_patterns(counts, size)
+    assert sum(t * k for t, held in found for _, k in held) == len(counts)
