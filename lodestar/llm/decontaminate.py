@@ -68,43 +68,48 @@ def _blocks(fp: str, radius: int) -> Column:
 def _matches(docs: DataFrame, benchmark: DataFrame, words: int, similarity: float, radius: int, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
     """(row, id, item, start, n_words, similarity) of each similar pair, at its best window; row numbers docs."""
     items = benchmark.select(F.col(item_col).alias("item"), _words(item_text).alias("w")).where(F.size("w") > 0).distinct()
-    items = cut(items.select("item", F.xxhash64("w").alias("it"), "w", F.size("w").alias("len"), F.least(F.size("w"), F.lit(words)).alias("k")))
-    said = items.select("item", "it", "k", "len", F.explode(_shingles(F.col("w"), F.col("k"))).alias("shingle"))
-    weighted = cut(said.groupBy("item", "it", "k", "len", "shingle").agg(F.count(F.lit(1)).alias("weight")))
+    # Rows and items are joined by number (it), which is never null as an id may be.
+    items = cut(items.select("item", F.monotonically_increasing_id().alias("it"), "w", F.size("w").alias("len"), F.least(F.size("w"), F.lit(words)).alias("k")))
+    said = items.select("it", F.explode(_shingles(F.col("w"), F.col("k"))).alias("shingle"))
+    weighted = cut(said.groupBy("it", "shingle").agg(F.count(F.lit(1)).alias("weight")))
     lengths = sorted(r[0] for r in items.select("k").distinct().collect())  # 1 to words
-    texts = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _words(text_col).alias("w"))
+    ids = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _words(text_col).alias("w"))
+    texts = ids.select("row", "w")
 
     hits = None
     for k in lengths:
-        own = items.where(F.col("k") == k).select("item", "it", "k", "len", F.explode(F.array_distinct(_hashes(F.col("w"), k))).alias("hash"))
+        own = items.where(F.col("k") == k).select("it", "k", "len", F.explode(F.array_distinct(_hashes(F.col("w"), k))).alias("hash"))
         seen = texts.select("row", F.size("w").alias("n"), F.posexplode(_hashes(F.col("w"), k)).alias("pos", "hash"))
         met = seen.join(_small(own), "hash")
         hits = met if hits is None else hits.union(met)
     if hits is None:
         return docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("id"), F.lit(0).alias("item"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity")).limit(0)
-    met = hits.groupBy("row", "n", "item", "it", "len", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))  # no more places than the text has
+    met = hits.groupBy("row", "n", "it", "len", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))  # no more places than the text has
     size = F.least("len", "n")
     # With a and b shingles, x of them shared: x / (a + b - x) reaches the similarity from here on. The margin is for rounding.
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (size + F.col("len") - 2 * F.col("k") + 2) - 1e-6).cast("int")
-    met = met.select("row", "item", "it", "k", "at", size.alias("size"), (F.col("n") - size).alias("last"), F.greatest(F.lit(1), least).alias("least")).where("size(at) >= least")
+    met = met.select("row", "it", "k", "at", size.alias("size"), (F.col("n") - size).alias("last"), F.greatest(F.lit(1), least).alias("least")).where("size(at) >= least")
     dense = F.filter("at", lambda p, i: F.get("at", i + F.col("least") - 1) <= p + F.col("size") - F.col("k"))
-    starts = met.select("row", "item", "it", "size", F.explode(F.array_distinct(F.transform(dense, lambda p: F.least(p, "last")))).alias("start"))
+    starts = met.select("row", "it", "size", F.explode(F.array_distinct(F.transform(dense, lambda p: F.least(p, "last")))).alias("start"))
     starts = cut(starts)
 
     k = F.least(F.col("size"), F.lit(words))
-    windows = texts.join(_small(starts), "row").select("row", "id", "item", "it", "start", "size", F.slice("w", F.col("start") + 1, F.col("size")).alias("w"))
-    parts = windows.select("row", "id", "item", "it", "start", "size", F.explode(_shingles(F.col("w"), k)).alias("shingle"))
-    by = ["row", "id", "item", "it", "start", "size"]
+    windows = texts.join(_small(starts), "row").select("row", "it", "start", "size", F.slice("w", F.col("start") + 1, F.col("size")).alias("w"))
+    parts = windows.select("row", "it", "start", "size", F.explode(_shingles(F.col("w"), k)).alias("shingle"))
+    by = ["row", "it", "start", "size"]
     parts = cut(parts.groupBy(*by, "shingle").agg(F.count(F.lit(1)).alias("weight")))
 
     near = _fingerprints(parts, by).select(*by, F.col("n").alias("n_window"), "fp", F.explode(_blocks("fp", radius)).alias("block"))
-    ours = _fingerprints(weighted, ["item", "it"]).select("item", "it", F.col("n").alias("n_item"), F.col("fp").alias("item_fp"), F.explode(_blocks("fp", radius)).alias("block"))
-    found = near.join(_small(ours), ["item", "it", "block"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    ours = _fingerprints(weighted, ["it"]).select("it", F.col("n").alias("n_item"), F.col("fp").alias("item_fp"), F.explode(_blocks("fp", radius)).alias("block"))
+    found = near.join(_small(ours), ["it", "block"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     found = found.select(*by, "n_window", "n_item").distinct()
-    shared = parts.join(found, by).join(_small(weighted.select("item", "it", "shingle", F.col("weight").alias("theirs"))), ["item", "it", "shingle"])
+    shared = parts.join(found, by).join(_small(weighted.select("it", "shingle", F.col("weight").alias("theirs"))), ["it", "shingle"])
     both = shared.groupBy(*by, "n_window", "n_item").agg(F.sum(F.least("weight", "theirs")).alias("both"))
     alike = both.withColumn("similarity", F.col("both") / (F.col("n_window") + F.col("n_item") - F.col("both"))).where(F.col("similarity") >= similarity)
-    best = alike.groupBy("row", "id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("best"))
+    alike = alike.join(_small(items.select("it", "item")), "it")
+    # Texts that share an item's id are one item; each text without an id is one of its own.
+    best = alike.groupBy("row", "item", F.when(F.col("item").isNull(), F.col("it")).alias("own")).agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("best"))
+    best = cut(best).join(ids.select("row", "id"), "row")
     return best.select("row", "id", "item", (-F.col("best.back")).alias("start"), F.col("best.size").alias("n_words"), "best.similarity")
 
 
@@ -116,7 +121,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
     `similarity`. One row per document row and item, at the best window that begins at a
     shared shingle or ends with the text (the first of equal ones). An item of fewer words than a shingle is one shingle; items and texts without
     words (null or empty) match nothing. Repeated documents each have their row; repeated
-    items count once; null ids are carried. Other columns are ignored. docs must be a
+    items count once; null ids, of documents or items, are carried and match by text like any other. Other columns are ignored. docs must be a
     stored table, whose rows are in the same places each time it is read.
     """
     found = _matches(docs, benchmark, words, similarity, radius, id_col, text_col, item_col, item_text)

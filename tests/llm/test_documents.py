@@ -311,6 +311,19 @@ def test_reordered_passages(make):
     assert got == pytest.approx(want) and {(0, 1), (1, 1), (2, 1), (9, 1)} <= set(want)
 
 
+def test_leaks_without_ids(make):
+    """Documents and items whose id is null are found and dropped like others."""
+    r = random.Random(11)
+    one, two, three = (" ".join(f"w{r.randrange(5000)}" for _ in range(30)) for _ in range(3))
+    items = [(1, one), (None, two), (None, three)]
+    rows = [(None, "x y " + one), (None, "no leak"), (None, "z " + one), (5, two), (None, f"{two} {three}"), (6, "clean")]
+    bench = make(items, "bench").select(F.col("doc_id").alias("item_id"), "text")
+    docs = make(rows)
+    got = Counter((x.doc_id, x.item_id, x.start, x.n_words) for x in decontaminate.contaminated(docs, bench).collect())
+    assert got == Counter([(None, 1, 2, 30), (None, 1, 1, 30), (5, None, 0, 30), (None, None, 0, 30), (None, None, 30, 30)])
+    assert sorted(x.text for x in decontaminate.drop_contaminated(docs, bench).collect()) == ["clean", "no leak"]
+
+
 def test_bin_completion_is_not_deep():
     """As many lengths as may be left out one after the other do not exhaust the call stack."""
     size = 32768
