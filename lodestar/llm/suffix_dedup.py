@@ -4,9 +4,12 @@ A string of `length` bytes has a key: the smallest hash of its 32-byte parts. Eq
 have equal keys, so neighbouring starts with one key make a run, and only runs whose key
 comes up again can hold a repeat. Equal runs are one row. Shards gather the runs of whole
 keys, so equal strings meet in a shard: its suffix array (Larsson-Sadakane refinement) and
-common prefixes (Kasai) say which starts repeat. A key too large for one shard is spread
-over several, and the strings of its shards are merged by a join on 128-bit digests rather
-than by binary search, which would gather all shards of the key in one task.
+common prefixes (Kasai) say which starts repeat.
+
+A key too large for one shard is dealt over several by the digest of its runs. Each of them
+hands on its sorted strings as sorted digests, one array for each range of digests, and the
+arrays of a range are merged by binary search. A key has as many ranges as shards, so no
+task holds more of it than about a shard's worth, whatever its size.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, text_bytes
 
 GRAM = 32
-#: Bytes hashed at once, and bytes of runs in one shard.
-SLICE, SHARD = 1 << 19, 1 << 20
+#: Bytes hashed at once, starts in a run at most, and bytes of runs in one shard.
+SLICE, RUN, SHARD = 1 << 19, 4096, 1 << 20
 _RANDOM = np.random.default_rng(7)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = _RANDOM.integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
@@ -61,6 +64,11 @@ def runs(buf: bytes, ends: np.ndarray, length: int):
     ok = np.arange(len(m)) + length <= ends[of]
     new = np.r_[True, (m[1:] != m[:-1]) | (of[1:] != of[:-1])] & ok
     new[1:] |= ok[1:] & ~ok[:-1]
+    begin = np.flatnonzero(new)
+    if len(begin):  # long runs (repetitive text) go on in another
+        since = np.arange(len(m)) - np.repeat(np.r_[0, begin], np.diff(np.r_[0, begin, len(m)]))
+        new |= ok & (since % RUN == 0)
+        new[: begin[0]] = False
     first = np.flatnonzero(new)
     stop = np.flatnonzero(ok & np.r_[new[1:] | ~ok[1:], True]) + 1
     key = m[first]
@@ -176,6 +184,24 @@ def _spans(mark: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
+#: 128-bit digests in the order of their bytes.
+DIGEST = np.dtype([("hi", "<u8"), ("lo", "<u8")])
+
+
+def met(lists: list[np.ndarray]) -> np.ndarray:
+    """The digests that at least two of the sorted lists hold, sorted: lists are merged two by two by binary search."""
+    found = [np.zeros(0, DIGEST)]
+    while len(lists) > 1:
+        merged = []
+        for x, y in zip(lists[::2], lists[1::2], strict=False):
+            at = np.searchsorted(x, y)
+            same = x[np.minimum(at, len(x) - 1)] == y if len(x) else np.zeros(len(y), bool)
+            found.append(y[same])
+            merged.append(np.insert(x, at[~same], y[~same]))
+        lists = merged + lists[len(lists) // 2 * 2 :]
+    return np.unique(np.concatenate(found))
+
+
 def _table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text_bytes(text_col).alias("text"))
 
@@ -184,7 +210,7 @@ def _all_runs(texts: DataFrame, length: int) -> DataFrame:
     def work(batches):
         from xxhash import xxh3_128_intdigest
 
-        def out(rows: list[int], held: list[bytes]):
+        def out(rows: list[tuple[int, int]], held: list[memoryview]):
             buf = b"".join(held)
             ends = np.cumsum([len(x) for x in held])
             of, first, many, key, weight = runs(buf, ends, length)
@@ -193,79 +219,133 @@ def _all_runs(texts: DataFrame, length: int) -> DataFrame:
             digest = [xxh3_128_intdigest(view[a : a + k + length - 1]) for a, k in zip(first.tolist(), many.tolist(), strict=True)]
             lo = np.array([d & (1 << 64) - 1 for d in digest], np.uint64).view(np.int64)
             hi = np.array([d >> 64 for d in digest], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, hi, lo, np.array(rows, np.int64)[of], first - begin[of], many, weight)], names=["key", "d1", "d2", "row", "at", "starts", "weight"])
+            row, at = np.array(rows, np.int64).T
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, hi, lo, row[of], at[of] + first - begin[of], many, weight)], names=["key", "d1", "d2", "row", "at", "starts", "weight"])
 
         for batch in batches:
             rows, held, size = [], [], 0
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if len(text := text.as_py()) >= length:
-                    rows.append(row)
-                    held.append(text)
-                    size += len(text)
-                if size > SLICE:
-                    yield out(rows, held)
-                    rows, held, size = [], [], 0
+                text = memoryview(text.as_buffer())
+                # A long text goes in slices; strings over their edges begin in the former slice.
+                for x in range(0, len(text) - length + 1, SLICE):
+                    rows.append((row, x))
+                    held.append(text[x : x + SLICE + length - 1])
+                    size += len(held[-1])
+                    if size > SLICE:
+                        yield out(rows, held)
+                        rows, held, size = [], [], 0
             if held:
                 yield out(rows, held)
 
     return texts.select("row", "text").mapInArrow(work, "key long, d1 long, d2 long, row long, at long, starts long, weight long")
 
 
-def _shards(length: int, limit: int):
-    """Runs in order of key to rows (kind, key, d1, d2, a, z, h1, h2): kind 0 a stretch of repeated
-    starts; for keys of several shards also kind 1, a string that one of them holds once, and 2, one it holds more often."""
+SHARDED = "kind int, key long, part int, d1 long, d2 long, a array<long>, z array<long>, strings binary, twice binary, run binary"
 
-    def row(kind, key, d1, d2, a, z, h1, h2):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (key, d1, d2, a, z, h1, h2))], names=["kind", "key", "d1", "d2", "a", "z", "h1", "h2"])
 
-    def shard(held, opened: bool):
+def _row(kind: int, key, part, d1, d2, a, z, strings=None, twice=None, run=None):
+    many = len(key)
+    lists = lambda x: pa.array(x if x is not None else [None] * many, pa.list_(pa.int64()))
+    blobs = lambda x: pa.array(x if x is not None else [None] * many, pa.binary())
+    cols = [pa.array([kind] * many, pa.int32()), pa.array(key, pa.int64()), pa.array(part, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(a), lists(z), blobs(strings), blobs(twice), blobs(run)]
+    return pa.RecordBatch.from_arrays(cols, names=["kind", "key", "part", "d1", "d2", "a", "z", "strings", "twice", "run"])
+
+
+def _shards(length: int, limit: int):
+    """Runs (key, many, salt, d1, d2, part) in order to rows of SHARDED: kind 0 the stretches [a, z) of repeated
+    starts of a run; for a key dealt over several shards also kind 1, the different strings of a shard in one range of
+    digests: sorted digests, a byte each whether the shard has it twice, and run and start of one place (run: d1, d2 and start of each, one after the other)."""
+
+    def shard(held, ranges: int):
         from xxhash import xxh3_128_intdigest
 
-        marks, seg, at = repeated([x[3] for x in held], length)
-        got = [(x[0], x[1], x[2], a, z) for x, m in zip(held, marks, strict=True) for a, z in zip(*_spans(m), strict=True)]
+        marks, seg, at = repeated([x[5] for x in held], length)
+        got = [(x[0], 0, x[3], x[4], *spans) for x, m in zip(held, marks, strict=True) if (spans := _spans(m))[0]]
         if got:
-            yield row(0, *zip(*got, strict=True), *[np.zeros(len(got))] * 2)
-        if opened:
-            for once in (True, False):
-                pick = [(s, a) for s, a in zip(seg.tolist(), at.tolist(), strict=True) if marks[s][a] != once]
-                for x in range(0, len(pick), 50_000):
-                    part = pick[x : x + 50_000]
-                    d = [xxh3_128_intdigest(held[s][3][a : a + length]) for s, a in part]
-                    halves = [np.array([v >> 64 for v in d], np.uint64).view(np.int64), np.array([v & (1 << 64) - 1 for v in d], np.uint64).view(np.int64)]
-                    yield row(1 if once else 2, *zip(*[(held[s][0], held[s][1], held[s][2], a, a + 1) for s, a in part], strict=True), *halves)
+            yield _row(0, *zip(*got, strict=True))
+        if ranges > 1 and len(seg):
+            views = [memoryview(x[5]) for x in held]
+            d = [xxh3_128_intdigest(views[s][a : a + length]) for s, a in zip(seg.tolist(), at.tolist(), strict=True)]
+            digest = np.empty(len(d), DIGEST)
+            digest["hi"], digest["lo"] = [v >> 64 for v in d], [v & (1 << 64) - 1 for v in d]
+            order = np.argsort(digest, kind="stable")
+            digest, seg, at = digest[order], seg[order], at[order]
+            twice = np.array([marks[s][a] for s, a in zip(seg.tolist(), at.tolist(), strict=True)], np.uint8)
+            names = np.array([(x[3], x[4]) for x in held], np.int64)
+            run = np.column_stack([names[seg], at]).astype(np.int64)
+            of = (digest["hi"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            edge = np.searchsorted(of, np.arange(ranges + 1).astype(np.uint64))
+            for r, (x, y) in enumerate(zip(edge, edge[1:], strict=False)):
+                if y > x:
+                    yield _row(1, [held[0][0]], [r], [0], [0], [None], [None], [digest[x:y].tobytes()], [twice[x:y].tobytes()], [run[x:y].tobytes()])
 
     def work(batches):
         held, size = [], 0  # whole keys
-        key, own, own_size, opened = None, [], 0, False  # the key that may go on
+        name, own, own_size, ranges = None, [], 0, 1  # the key (or its part) that may go on
 
         def close():
             nonlocal held, size
-            if opened:
+            if ranges > 1:
                 if own:
-                    yield from shard(own, True)
+                    yield from shard(own, ranges)
                 return
             held, size = held + own, size + own_size
             if size > limit:
-                yield from shard(held, False)
+                yield from shard(held, 1)
                 held, size = [], 0
 
         for batch in batches:
             for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if x[0] != key:
+                if (x[0], x[2]) != name:
                     yield from close()
-                    key, own, own_size, opened = x[0], [], 0, False
-                elif own_size + len(x[3]) > limit:
-                    yield from shard(own, True)
-                    own, own_size, opened = [], 0, True
+                    name, own, own_size, ranges = (x[0], x[2]), [], 0, x[1]
+                elif ranges > 1 and own_size + len(x[5]) > 2 * limit:
+                    yield from shard(own, ranges)
+                    own, own_size = [], 0
                 own.append(x)
-                own_size += len(x[3])
+                own_size += len(x[5])
         yield from close()
         if held:
-            yield from shard(held, False)
+            yield from shard(held, 1)
 
     return work
 
 
+def _merged(batches):
+    """Rows of kind 1 in order of key and range to rows of kind 0: strings that two shards of a key hold, with the
+    stretches of starts of each run that has them."""
+    name, lists = None, []
+
+    def close():
+        if len(lists) < 2:
+            return
+        digests = [np.frombuffer(x[1], DIGEST) for x in lists]
+        both, got = met(list(digests)), []
+        for x, own in zip(lists, digests, strict=True):
+            # What a shard has twice it has marked itself.
+            at = np.searchsorted(both, own)
+            hit = (np.frombuffer(x[2], np.uint8) == 0) & (both[np.minimum(at, len(both) - 1)] == own) if len(both) else np.zeros(len(own), bool)
+            got.append(np.frombuffer(x[3], np.int64).reshape(-1, 3)[hit])
+        rows = np.unique(np.concatenate(got), axis=0)
+        if not len(rows):
+            return
+        new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)]
+        gap = np.r_[True, new[1:] | (rows[1:, 2] != rows[:-1, 2] + 1)]
+        a, z = rows[gap, 2], np.r_[rows[np.flatnonzero(gap)[1:] - 1, 2], rows[-1, 2]] + 1
+        first = np.flatnonzero(new[gap])
+        cut_at = list(zip(first.tolist(), [*first[1:].tolist(), len(a)], strict=True))
+        n = len(cut_at)
+        yield _row(0, [name[0]] * n, [0] * n, rows[new, 0], rows[new, 1], [a[x:y] for x, y in cut_at], [z[x:y] for x, y in cut_at])
+
+    for batch in batches:
+        for x in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "strings", "twice", "run")), strict=True):
+            if x[:2] != name:
+                yield from close()
+                name, lists = x[:2], []
+            lists.append(x[1:])
+    yield from close()
+
+
 def repeated_stretches(texts: DataFrame, length: int, limit: int = SHARD) -> DataFrame:
     """(row, from, to): byte ranges of texts that strings of `length` bytes with another start cover."""
     found = _all_runs(texts, length)
@@ -273,21 +353,23 @@ def repeated_stretches(texts: DataFrame, length: int, limit: int = SHARD) -> Dat
     # Cut first, so that either side of the joins below is an exchange, which hot keys can be split from.
     keys = cut(found.groupBy("key").agg(F.sum("weight").alias("all")).where("all > 1").select("key"))
     distinct = cut(distinct.join(keys, "key", "left_semi"))
-    alone = cut(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.max("weight").alias("most")).where("texts = 1 and most = 1").select("key"))
+    per_key = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.max("weight").alias("most"), F.sum(F.col("starts") + (length - 1)).alias("bytes"))
+    per_key = cut(per_key.where("texts > 1 or most > 1").select("key", F.ceil(F.col("bytes") / limit).cast("int").alias("many")))
     # A run that is repeated as a whole repeats at each start; it needs a shard only for what else has its key.
-    whole = distinct.where("n > 1").select("key", "d1", "d2", F.lit(0).cast("long").alias("a"), F.col("starts").alias("z"))
-    wanted = distinct.join(alone, "key", "left_anti").select("key", "d1", "d2", "row", "at", "starts")
-    parts = texts.join(wanted, "row").select("key", "d1", "d2", F.substring("text", F.col("at").cast("int") + 1, (F.col("starts") + (length - 1)).cast("int")).alias("part"))
-    shards = cut(parts.repartition("key").sortWithinPartitions("key", "d1", "d2").mapInArrow(_shards(length, limit), "kind int, key long, d1 long, d2 long, a long, z long, h1 long, h2 long"))
+    whole = distinct.where("n > 1").select("key", "d1", "d2", F.array(F.lit(0).cast("long")).alias("a"), F.array("starts").alias("z"))
+    wanted = distinct.join(per_key, "key").select("key", "many", F.pmod(F.xxhash64("d1", "d2"), "many").alias("salt"), "d1", "d2", "row", "at", "starts")
+    # One row for each text, whose runs are cut out before they are rows of their own.
+    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "many", "salt", "d1", "d2", "at", "starts")).alias("runs"))
+    cut_out = F.transform("runs", lambda r: F.struct(r["key"].alias("key"), r["many"].alias("many"), r["salt"].alias("salt"), r["d1"].alias("d1"), r["d2"].alias("d2"), F.substring("text", r["at"].cast("int") + 1, (r["starts"] + (length - 1)).cast("int")).alias("part")))
+    parts = texts.join(wanted, "row").select(F.explode(cut_out).alias("r")).select("r.*")
+    shards = cut(parts.repartition("key", "salt").sortWithinPartitions("key", "salt", "d1", "d2").mapInArrow(_shards(length, limit), SHARDED))
     marks = shards.where("kind = 0").select("key", "d1", "d2", "a", "z").union(whole)
-    spread = shards.where("kind > 0")
+    spread = shards.where("kind = 1")
     if not spread.isEmpty():
-        # Merge of the shards of one key: a string that two of them hold.
-        both = cut(spread.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "h1", "h2"))
-        marks = marks.union(spread.where("kind = 1").join(both, ["key", "h1", "h2"]).select("key", "d1", "d2", "a", "z"))
-    marks = cut(marks.groupBy("key", "d1", "d2").agg(F.collect_set(F.struct("a", "z")).alias("spans")))
+        marks = marks.union(spread.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_merged, SHARDED).select("key", "d1", "d2", "a", "z"))
+    marks = cut(marks.groupBy("key", "d1", "d2").agg(F.collect_set(F.arrays_zip("a", "z")).alias("spans")))
     hit = found.select("key", "d1", "d2", "row", "at").join(marks, ["key", "d1", "d2"])
-    return hit.select("row", F.explode("spans").alias("s"), "at").select("row", (F.col("at") + F.col("s.a")).alias("from"), (F.col("at") + F.col("s.z") - 1 + length).alias("to"))
+    return hit.select("row", F.explode(F.flatten("spans")).alias("s"), "at").select("row", (F.col("at") + F.col("s.a")).alias("from"), (F.col("at") + F.col("s.z") - 1 + length).alias("to"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD) -> DataFrame:

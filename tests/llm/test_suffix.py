@@ -71,3 +71,40 @@ def test_repeats(make, limit):
 def test_odd(odd, empty):
     assert got(odd, 200) == brute(ODD, 200)
     assert got(empty, 200) == []
+
+
+def test_met():
+    r = random.Random(3)
+    for many in (1, 2, 3, 7):
+        lists = [sorted({(r.randrange(3), r.randrange(20)) for _ in range(r.randrange(12))}) for _ in range(many)]
+        seen = Counter(x for one in lists for x in one)
+        got = suffix_dedup.met([np.array(x, suffix_dedup.DIGEST) for x in lists])
+        assert [tuple(map(int, x)) for x in got] == sorted(x for x, n in seen.items() if n > 1)
+
+
+def test_hot_keys_are_merged_across_shards(make):
+    """Near copies of one text, each with an edit of its own, so that no two runs are equal but most strings are."""
+    r = random.Random(8)
+    base = "".join(r.choice("abcdefgh ") for _ in range(500))
+    rows = []
+    for i in range(80):
+        at = r.randrange(500)
+        rows.append((i, base[:at] + chr(0x100 + i) + base[at + 1 :]))
+    assert got(make(rows), 64, limit=2000) == got(make(rows, "again"), 64) == brute(rows, 64)
+
+
+def test_repetitive_long_texts(make):
+    """Texts of one letter: runs end at a bound, and slices of a long text meet at their edges."""
+    import time
+
+    begin = time.time()
+    rows = got(make([(1, "a" * 5_000_000), (2, "b" * 250), (3, "xy" * 700_000)]), 200)
+    assert [x[:4] for x in rows] == [(1, 5_000_000, 5_000_000, 1), (2, 250, 250, 1), (3, 1_400_000, 1_400_000, 1)]
+    assert time.time() - begin < 30
+
+
+def test_slices_of_a_long_text(make):
+    r = random.Random(5)
+    part = "".join(r.choice("abcdefghijklmnop") for _ in range(700))
+    text = "".join(r.choice("qrstuvwxyz") for _ in range(suffix_dedup.SLICE - 300)) + part + "".join(r.choice("qrstuvwxyz") for _ in range(2000)) + part
+    assert [x[:4] for x in got(make([(1, text)]), 200)] == [(1, len(text), 1400, 2)]
