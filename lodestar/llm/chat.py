@@ -105,15 +105,15 @@ def _same(a, b) -> bool:
     return a == b or (a != a and b != b)
 
 
-def _rendered(messages: list[tuple], edge: tuple | None, part: int):
+def _rendered(messages: list[tuple], edge: tuple | None):
     """The output rows, less the conversation, of a chunk's (turn, role, text) messages in order.
 
-    edge is (begin, end, final) for a chunk of several, None for a whole conversation.
+    edge is (begin, end, final, seq) for a chunk of several, None for a whole conversation.
     """
-    begin, end, final = edge or (START, None, True)
+    begin, end, final, seq = edge or (START, None, True, 0)
     roles = tuple(_role(m[1]) for m in messages)
     steps = _remembered(roles) if edge is None and len(roles) <= SHORT else repair(roles, begin, end)
-    seq, state, last = part << 20 if edge else 0, begin, len(steps) - 1
+    state, last = begin, len(steps) - 1
     for i, ((new, how, between), (turn, source, text)) in enumerate(zip(steps, messages, strict=True)):
         if how == 2:
             yield seq, turn, ROLES[between], None, "insert", INSERT, (CLOSE if state != START else "") + _open(between)
@@ -129,7 +129,7 @@ def repaired(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     """One row per message and per inserted turn: conv, seq, turn, role, source_role, action, cost, rendered.
 
     Messages are taken in order of turn (null first), then role and text. `rendered`, in
-    order of seq, makes up the conversation: each piece closes the turn before it unless it
+    order of seq (which may leave numbers out in long conversations), makes up the conversation: each piece closes the turn before it unless it
     is merged into it, and the last one closes its own. action is keep, merge or insert,
     with "+relabel" for a message that took another role; a role that is none of the three
     (null too) always does. Merged texts are set apart by a line feed. Null texts are
@@ -137,7 +137,9 @@ def repaired(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     conversation. Other columns are ignored; no rows give no rows.
     """
     turn = F.col(turn_col).cast("long")
-    rows = conversations.select(F.col(conv_col).alias("conv"), turn.alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.floor(turn / chunk), F.lit(-(1 << 40))).alias("part"))
+    # Integers throughout: turns may be nanoseconds. No real part is as low as the one of null turns.
+    part = F.expr(f"cast(`{turn_col.replace('`', '``')}` as bigint) div {chunk}") - F.when((turn < 0) & (turn % chunk != 0), 1).otherwise(0)
+    rows = conversations.select(F.col(conv_col).alias("conv"), turn.alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(part, F.lit(-(1 << 63))).alias("part"))
     kind = conversations.schema[conv_col].dataType.simpleString()
     order = ["turn", "role", "text"]
 
@@ -147,7 +149,7 @@ def repaired(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
 
     def costs(key, frame: pd.DataFrame) -> pd.DataFrame:
         roles = frame.sort_values(["turn", "role"], na_position="first")["role"]
-        return pd.DataFrame({"conv": frame["conv"].iloc[:1], "part": frame["part"].iloc[:1], "costs": [chunk_costs([_role(r) for r in roles]).ravel().tolist()]})
+        return pd.DataFrame({"conv": frame["conv"].iloc[:1], "part": frame["part"].iloc[:1], "messages": [len(roles)], "costs": [chunk_costs([_role(r) for r in roles]).ravel().tolist()]})
 
     def states(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("part")
@@ -160,13 +162,14 @@ def repaired(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
         for way in reversed(ways):
             ends.append(int(way[ends[-1]]))
         ends = ends[::-1]
-        return pd.DataFrame({"conv": frame["conv"], "part": frame["part"], "begin": ends[:-1], "end": ends[1:], "final": [False] * (len(frame) - 1) + [True]})
+        before = 2 * (frame["messages"].cumsum() - frame["messages"])  # each message makes two rows at most
+        return pd.DataFrame({"conv": frame["conv"], "part": frame["part"], "begin": ends[:-1], "end": ends[1:], "final": [False] * (len(frame) - 1) + [True], "seq": before})
 
     # Texts only order messages of equal turn and role, which costs do not tell apart.
-    matrices = several.select("conv", "part", "turn", "role").groupBy("conv", "part").applyInPandas(costs, f"conv {kind}, part long, costs array<double>")
-    edges = matrices.groupBy("conv").applyInPandas(states, f"conv {kind}, part long, begin int, end int, final boolean")
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("begin", "int"), ("end", "int"), ("final", "boolean"))]
-    heads = edges.select("conv", "part", F.lit(0).alias("after"), *[F.lit(None).cast(t).alias(c) for c, t in (("turn", "long"), ("role", "string"), ("text", "string"))], "begin", "end", "final")
+    matrices = several.select("conv", "part", "turn", "role").groupBy("conv", "part").applyInPandas(costs, f"conv {kind}, part long, messages long, costs array<double>")
+    edges = matrices.groupBy("conv").applyInPandas(states, f"conv {kind}, part long, begin int, end int, final boolean, seq long")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("begin", "int"), ("end", "int"), ("final", "boolean"), ("seq", "long"))]
+    heads = edges.select("conv", "part", F.lit(0).alias("after"), *[F.lit(None).cast(t).alias(c) for c, t in (("turn", "long"), ("role", "string"), ("text", "string"))], "begin", "end", "final", "seq")
     # One exchange: where a chunk begins and ends comes in as a row before its messages.
     dealt = rows.select("conv", "part", F.lit(1).alias("after"), *order, *nothing).union(heads).repartition("conv", "part").sortWithinPartitions("conv", "part", "after", *order)
 
@@ -178,7 +181,7 @@ def repaired(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
 
         def close():
             nonlocal size
-            for row in _rendered(held, edge, part):
+            for row in _rendered(held, edge):
                 convs.append(conv)
                 out.append(row)
                 size += len(row[-1])
@@ -192,7 +195,7 @@ def repaired(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
 
         for batch in batches:
             conv_type = batch.schema.field(0).type
-            for c, p, after, turn, role, text, begin, end, final in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for c, p, after, turn, role, text, begin, end, final, seq in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if part is None or p != part or not _same(c, conv):
                     if held:
                         close()
@@ -202,7 +205,7 @@ def repaired(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
                 if after:
                     held.append((turn, role, text))
                 else:
-                    edge = begin, end, final
+                    edge = begin, end, final, seq
         if held:
             close()
         if out:

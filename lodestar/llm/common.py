@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -13,15 +14,50 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a reliable checkpoint.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a folder of our own
-    is set only where the session has none, as in tests on one machine.
+    The folder is the one the cluster names in spark.checkpoint.dir (see shared_folder).
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, else of its configuration.
+
+    Where neither names one, a temporary folder serves on a local master, as in tests. On a
+    cluster there is no such folder that all machines see, so that is an error.
+    """
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name like `name` that no column of docs has, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that numbers its rows, and that column's name.
+
+    Numbers follow from where rows are stored, so two reads agree on a stored table only.
+    """
+    name = fresh(docs, "__row")
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def only(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose numbers (see numbered) the one column of rows holds (left_semi) or lacks (left_anti)."""
+    counted, name = numbered(docs)
+    return counted.join(rows.toDF(name), name, how).select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII text takes Spark's fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

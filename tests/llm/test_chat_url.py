@@ -120,3 +120,13 @@ def test_trees_learn(spark):
     model = url_filter.train(pages, "url", "blocked")
     out = {x.page_id: x.verdict for x in url_filter.judge(pages, [], model).collect()}
     assert sum((out[i] == "block") == bool(t) for i, _, _, t in rows[400:]) > 0.97 * 200
+
+
+def test_turns_in_nanoseconds(spark):
+    """Turns that spread over many chunks, negative, largest and null ones among them."""
+    turns = [None, -(1 << 63), -5, -1, 0, 5_000_000_000, 1_700_000_000_000_000_000, 1_700_000_005_000_000_000, (1 << 63) - 1]
+    rows = [(1, t, "user" if i % 2 == 0 else "assistant", f"m{i}") for i, t in enumerate(turns)]
+    out = chat.repaired(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("seq").collect()
+    assert [r.turn for r in out] == turns and len({r.seq for r in out}) == len(turns)
+    assert {r.action for r in out} == {"keep"}
+    assert "".join(r.rendered for r in out) == "".join(chat._open(1 + i % 2) + f"m{i}" + chat.CLOSE for i in range(len(turns)))
