@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +11,6 @@ from .common import text_bytes
 
 #: Hashed byte trigrams; n-grams in a block that shares one language; EM rounds.
 BINS, BLOCK, ROUNDS = 1 << 16, 32, 12
-LETTER = re.compile(r"[^\W\d_]")
 _SPACE = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
 #: Bytes of normalised text worked on at once.
 SLICE = 1 << 20
@@ -25,6 +22,11 @@ def _normal(raw: bytes) -> bytes:
     return b" " + b" ".join(words) + b" "
 
 
+def lettered(raw: bytes) -> bool:
+    """Whether a text has a letter of Unicode (category L); numerals that look like letters are none."""
+    return any(map(str.isalpha, raw.decode("utf-8", "replace")))
+
+
 def _bins(text: bytes) -> np.ndarray:
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
     return ((b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)).astype(np.int64)
@@ -96,17 +98,33 @@ def infer(texts: list[bytes], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         worth = ll - 0.5 * k * np.log(np.maximum(n_grams, 2)) * 4
         if best is None:
             best, best_w, size = worth, w, np.ones(len(texts), int)
-        else:
+        else:  # every size is looked at for every text, whatever texts it shares a slice with
             more = worth > best
             best, size = np.where(more, worth, best), np.where(more, k, size)
             best_w = np.where(more[:, None], w, best_w)
-        if not (k == 1 or more.any()):
-            break
     pick = best_w.argmax(1)
     at = np.arange(len(texts))
     return pick, np.minimum(full[at, pick], best_w[at, pick]), size
 
 
+def _verdicts(raw: list[bytes | None], langs: list[str], logs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language or und, share, number of languages) of each text."""
+    lang, score, many = ["und"] * len(raw), np.zeros(len(raw)), np.zeros(len(raw), np.int32)
+    held, size = [], 0
+    for i, b in enumerate([*raw, None]):
+        if b and langs and lettered(b) and len(x := _normal(b)) > 2:
+            held.append((i, x))
+            size += len(x)
+        if held and (size > SLICE or i == len(raw)):
+            at = [k for k, _ in held]
+            pick, share, n = infer([x for _, x in held], logs)
+            for k, p in zip(at, pick, strict=True):
+                lang[k] = langs[p]
+            score[at], many[at] = np.clip(share, 0, 1), n
+            held, size = [], 0
+    return lang, score, many
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, lang_pred, score, n_langs.
 
@@ -120,23 +138,33 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
-        logs = shared.value
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            lang, score, many = ["und"] * len(raw), np.zeros(len(raw)), np.zeros(len(raw), np.int32)
-            held, size = [], 0
-            for i, b in enumerate([*raw, None]):
-                if b and langs and LETTER.search(b.decode("utf-8", "replace")) and len(x := _normal(b)) > 2:
-                    held.append((i, x))
-                    size += len(x)
-                if held and (size > SLICE or i == len(raw)):
-                    at = [k for k, _ in held]
-                    pick, share, n = infer([x for _, x in held], logs)
-                    for k, p in zip(at, pick, strict=True):
-                        lang[k] = langs[p]
-                    score[at], many[at] = np.clip(share, 0, 1), n
-                    held, size = [], 0
+            lang, score, many = _verdicts(batch.column(1).to_pylist(), langs, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(many)], names=["id", "lang_pred", "score", "n_langs"])
 
     out = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(work, f"id {kind}, lang_pred string, score double, n_langs int")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are in a language.
+
+    Rejected are null texts, texts without a letter, and texts whose main language makes up
+    less than `least` of the mixture. An empty model (no row had a language) rejects only
+    the first two. Repeated rows are judged alike. Nothing is shuffled.
+    """
+    langs, logs = model
+    shared = docs.sparkSession.sparkContext.broadcast(logs)
+    at = docs.columns.index(text_col)
+
+    def work(batches):
+        for batch in batches:
+            raw = batch.column(at).cast(pa.binary()).to_pylist()
+            if langs:
+                lang, score, _ = _verdicts(raw, langs, shared.value)
+                keep = [x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)]
+            else:
+                keep = [b is not None and lettered(b) for b in raw]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
