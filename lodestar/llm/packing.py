@@ -9,7 +9,9 @@ and the documents of a length are then dealt to the places of the patterns by ra
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,70 +21,73 @@ from pyspark.sql import functions as F
 from .common import cut, text_bytes
 from .tokens import ids_each
 
-#: Steps of the search around one largest document; the best filling so far holds beyond it.
-STEPS = 2_000
+#: Sequences at the end of a plan that the search takes apart, and fillings it looks at. Both bound time, not what is packed.
+TAIL, EFFORT = 200, 200_000
 
 
-def _best_fit(left: dict[int, int], lengths: list[int], room: int, largest: int) -> list[tuple[int, int]]:
+def lower_bound(counts: dict[int, int], size: int) -> int:
+    """Martello and Toth's L2: documents over half a sequence need one each, and what their sequences cannot take needs more."""
+    have = sorted((n, c) for n, c in counts.items() if c)
+    lengths = [n for n, _ in have]
+    number, tokens = [0, *accumulate(c for _, c in have)], [0, *accumulate(n * c for n, c in have)]
+    half = bisect_right(lengths, size / 2)
+    most = -(-tokens[-1] // size)
+    for i in range(half):
+        alone = bisect_right(lengths, size - lengths[i])  # from here on nothing as long as this one fits in
+        room = (number[alone] - number[half]) * size - (tokens[alone] - tokens[half])
+        most = max(most, number[-1] - number[half] + max(0, -(-(tokens[half] - tokens[i] - room) // size)))
+    return max(most, number[-1] - number[half])
+
+
+def _best_fit(have: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
     """Greedy best fit: ever the longest that still fits."""
     out = []
-    for n in lengths:
-        if n <= room and (have := left[n] - (n == largest)) > 0:
-            take = min(have, room // n)
-            out.append((n, take))
+    for n, k in have:
+        if n <= room:
+            out.append((n, take := min(k, room // n)))
             room -= take * n
-        if room == 0:
-            break
     return out
 
 
-def _complete(left: dict[int, int], lengths: list[int], largest: int, room: int) -> list[tuple[int, int]]:
-    """A filling of room with least waste, its documents as long as possible.
+def _fullest(have: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
+    """A filling of room with the least waste; of those the one whose longest documents are longest.
 
-    Depth first over lengths in falling order. Only maximal fillings count: one that could
-    take in another document is dominated. A branch is left when even all documents it may
-    still use would waste as much as the best filling does. Between equal fillings the one
-    found first has the longer documents and leaves the more flexible short ones.
+    Which sums the lengths from each place on can make is one integer, a bit for each sum.
     """
-    best = _best_fit(left, lengths, room, largest)
-    waste = room - sum(n * k for n, k in best)
-    if not waste:
-        return best
-    have = [(n, left[n] - (n == largest)) for n in lengths if n <= room]
-    have = [(n, k) for n, k in have if k > 0]
-    rest = np.cumsum([0] + [n * k for n, k in reversed(have)])[::-1]
-    falling = [-n for n, _ in have]
-    smallest = have[-1][0] if have else room + 1
-    steps = 0
-
-    def search(i: int, space: int, taken: list[tuple[int, int]]) -> bool:
-        nonlocal best, waste, steps
-        while True:  # a length left out is the next turn, not a deeper call
-            steps += 1
-            if space < waste:
-                best, waste = list(taken), space
-            if not waste or steps > STEPS:
-                return True
-            i = max(i, bisect_left(falling, -space))
-            if i >= len(have) or space < smallest or space - rest[i] >= waste:
-                return False
-            n, k = have[i]
-            for take in range(min(k, space // n), 0, -1):
-                if search(i + 1, space - take * n, [*taken, (n, take)]):
-                    return True
-            i += 1
+    have = [(n, min(k, room // n)) for n, k in have if n <= room]
+    mask, sums = (1 << room + 1) - 1, [1]
+    for n, k in reversed(have):
+        can, step = sums[-1], 1
+        while k:
+            take = min(step, k)
+            can |= can << take * n & mask
+            k, step = k - take, step * 2
+        sums.append(can)
+    sums.reverse()
+    left, out = sums[0].bit_length() - 1, []
+    for i, (n, k) in enumerate(have):
+        take = next(t for t in range(min(k, left // n), -1, -1) if sums[i + 1] >> left - t * n & 1)
+        if take:
+            out.append((n, take))
+            left -= take * n
+    return out
 
-    search(0, room, [])
-    return best
+
+Pattern = tuple[int, list[tuple[int, int]]]
 
 
-def _patterns(counts: dict[int, int], size: int, completed: bool) -> list[tuple[int, list[tuple[int, int]]]]:
+def _patterns(counts: dict[int, int], size: int, completed: bool) -> list[Pattern]:
+    """A plan without going back: each filling around the largest document, as often as the histogram allows."""
     left = {n: c for n, c in counts.items() if c}
     lengths = sorted(left, reverse=True)
     out = []
     while lengths:
         largest = lengths[0]
-        fill = (_complete if completed else lambda a, b, c, d: _best_fit(a, b, d, c))(left, lengths, largest, size - largest)
+        room = size - largest
+        have = [(n, k) for n in lengths if n <= room and (k := left[n] - (n == largest)) > 0]
+        fill = _best_fit(have, room)
+        if completed and sum(n * k for n, k in fill) < room:
+            fill = _fullest(have, room)
         need = dict(fill)
         need[largest] = need.get(largest, 0) + 1
         times = min(left[n] // k for n, k in need.items())
@@ -93,20 +98,118 @@ def _patterns(counts: dict[int, int], size: int, completed: bool) -> list[tuple[
     return out
 
 
-def bin_patterns(counts: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
+def _dominated(fill: list[int], waste: int, spare: list[int]) -> bool:
+    """Whether one document, or two, of a filling could give way to a longer one (or one at least as long as both) that still fits.
+
+    What gives way fits where the other would have stood, so such a filling need not be tried.
+    """
+    kinds = sorted(set(fill))
+    for i, x in enumerate(kinds):
+        at = bisect_right(spare, x)
+        if at < len(spare) and spare[at] <= x + waste:
+            return True
+        for y in kinds[i:]:
+            if y != x or fill.count(x) > 1:
+                at = bisect_left(spare, x + y)
+                if at < len(spare) and spare[at] <= x + y + waste:
+                    return True
+    return False
+
+
+def _completed(counts: dict[int, int], size: int, used: int, least: int, effort: int) -> list[list[int]] | None:
+    """A plan of fewer than `used` sequences by branch and bound over sequences, or None.
+
+    Each sequence takes the largest document left and one of its undominated fillings,
+    longest documents first. A branch ends when its waste exceeds what fewer sequences may
+    waste in all, or when the bound of what is left reaches the incumbent. Sequences with
+    the same largest document come in falling order, as their order does not matter.
+    """
+    left = {n: c for n, c in counts.items() if c}
+    total = sum(n * c for n, c in left.items())
+    steps, best, plan = 0, None, []
+
+    def fillings(lengths: list[int], i: int, room: int, most: int, taken: list[int]):
+        nonlocal steps
+        steps += 1
+        for j in range(bisect_left(lengths, -room, i, key=lambda n: -n), len(lengths)):
+            n = lengths[j]
+            for take in range(min(left[n], room // n), 0, -1):
+                if steps > effort:
+                    return
+                left[n] -= take
+                yield from fillings(lengths, j + 1, room - take * n, most, taken + [n] * take)
+                left[n] += take
+        if room <= most:  # what is taken stays out of left while the caller goes on from here
+            spare = sorted(n for n in lengths if left[n])
+            if not (spare and spare[0] <= room) and not _dominated(taken, room, spare):
+                yield list(taken)
+
+    def search(wasted: int, before: list[int] | None) -> bool:
+        """Goes on from the sequences in plan; True once there is nothing more to gain."""
+        nonlocal best, used
+        if not any(left.values()):
+            used, best = len(plan), [list(x) for x in plan]
+            return used <= least
+        if len(plan) + lower_bound(left, size) >= used:
+            return False
+        lengths = sorted((n for n in left if left[n]), reverse=True)
+        largest = lengths[0]
+        left[largest] -= 1
+        try:
+            for fill in fillings(lengths, 0, size - largest, (used - 1) * size - total - wasted, []):
+                if before and before[0] == largest and [largest, *fill] > before:
+                    continue
+                waste = size - largest - sum(fill)
+                if wasted + waste > (used - 1) * size - total:  # the incumbent may be a better one by now
+                    continue
+                plan.append([largest, *fill])
+                done = search(wasted + waste, plan[-1])
+                plan.pop()
+                if done or steps > effort:
+                    return True
+        finally:
+            left[largest] += 1
+        return False
+
+    search(0, None)
+    return best
+
+
+def bin_patterns(counts: dict[int, int], size: int, tail: int = TAIL, effort: int = EFFORT) -> list[Pattern]:
     """[(how many sequences, [(length, how many)])] by bin completion.
 
-    Each filling has best fit as its incumbent. Each step uses its filling as often as the
-    histogram allows, so it uses up a length (or nearly so) and the number of steps follows
-    the number of lengths, not of documents. Best fit decreasing over all is the incumbent
-    of the whole plan, and looked at only where completion does not reach the lower bound.
+    First plans without going back are made, by fullest fillings and by best fit alone; the
+    shorter is the incumbent. Where it misses the lower bound, branch and bound takes its
+    last `tail` sequences apart (all, if there are no more) and looks for fewer, giving up
+    after `effort` fillings. So small plans are exact, and for large ones, which all but
+    always meet the bound, the search cannot run away.
     """
     found = _patterns(counts, size, True)
-    used = sum(t for t, _ in found)
-    if used <= -(-sum(n * c for n, c in counts.items()) // size):
-        return found  # as few as the tokens allow
+    count = lambda p: sum(t for t, _ in p)
+    least = lower_bound(counts, size)
+    if count(found) <= least:
+        return found
     plain = _patterns(counts, size, False)
-    return plain if sum(t for t, _ in plain) < used else found
+    if count(plain) < count(found):
+        found = plain
+    if count(found) <= least:
+        return found
+    kept, apart, n = list(found), [], 0
+    while kept and n < tail:
+        times, held = kept.pop()
+        take = min(times, tail - n)
+        if times > take:
+            kept.append((times - take, held))
+        apart.append((take, held))
+        n += take
+    rest = Counter()
+    for times, held in apart:
+        for length, k in held:
+            rest[length] += times * k
+    better = _completed(rest, size, n, least - count(kept), effort)
+    if not better:
+        return found
+    return kept + [(times, sorted(Counter(x).items(), reverse=True)) for x, times in Counter(map(tuple, better)).items()]
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int, id_col: str, text_col: str) -> DataFrame:
