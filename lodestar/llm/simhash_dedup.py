@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, text_bytes
+from . import near_dedup
+from .common import components, cut, only, text_bytes
 
 #: Bits by which linked fingerprints may differ; the two halves prove it for two.
 RADIUS = 2
@@ -233,14 +234,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
     return found.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", most: int = 100_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 3, similarity: float | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", most: int = 100_000) -> DataFrame:
     """The rows of docs, with all their columns, less all but one of each component.
 
+    Without a similarity, links are those of near_duplicates: fingerprints at most two bits
+    apart. With one, texts are linked whose sets of shingles have that Jaccard similarity at
+    least; at 0.8 fingerprints differ in 10 of 64 bits, where deletion variants select
+    nothing, so near_dedup finds the candidates then.
+
     The row with the smallest id stays (null ids last), of rows that share it the first in
     docs. docs must be a stored table, whose rows are in the same places each time it is read.
     """
+    if similarity is not None:
+        return near_dedup.drop_near_duplicates(docs, words, similarity, seed, id_col, text_col)
     found, classes = _classes(docs, words, seed, id_col, text_col, most)
     best = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row"))
     first = found.join(classes.select("fp", "root"), "fp").groupBy("root").agg(best.alias("best"))
     kept = cut(first.select(F.col("best.row").alias("__row")))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    return only(docs, kept, "left_semi")

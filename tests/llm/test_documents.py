@@ -147,6 +147,49 @@ def test_bin_completion_beats_best_fit():
         assert used == counts
 
 
+def fewest(lengths, size):
+    """The least number of sequences by trying all ways."""
+    best = len(lengths)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for r in {*rooms}:
+            if r >= lengths[i]:
+                rest = list(rooms)
+                rest.remove(r)
+                put(i + 1, [*rest, r - lengths[i]])
+        put(i + 1, [*rooms, size - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    put(0, [])
+    return best
+
+
+def test_branch_and_bound_needs_no_more_than_all_ways():
+    r = random.Random(12)
+    cases = [([13, 13, 12, 11, 11, 7, 6, 6, 5, 4, 4, 4, 3], 20), ([17, 16, 15, 10, 9, 8, 6, 6], 30)]
+    for _ in range(700):
+        size = r.choice([10, 20, 30, 60])
+        cases.append(([r.randrange(max(1, size // 8), r.choice([size // 2, size]) + 1) for _ in range(r.randrange(1, 12))], size))
+    better = 0
+    for lengths, size in cases:
+        found = packing.bin_patterns(Counter(lengths), size)
+        used = Counter()
+        for t, held in found:
+            assert sum(n * k for n, k in held) <= size
+            for n, k in held:
+                used[n] += t * k
+        many = sum(t for t, _ in found)
+        assert used == Counter(lengths) and many == fewest(lengths, size) >= packing.lower_bound(Counter(lengths), size), (lengths, size)
+        better += many < min(sum(t for t, _ in packing._patterns(Counter(lengths), size, c)) for c in (True, False))
+    assert better >= 2  # the search was needed
+
+
 # Near copies
 
 
@@ -247,6 +290,72 @@ def test_language_mixture(make):
     assert (got[5].lang_pred, got[None].lang_pred) == ("de", "en")
 
 
+def test_no_letter_is_no_language(make):
+    model = lang_id.train(make([(1, "the thing that they think " * 9, "en")], "train"))
+    rows = [(k, t) for k, t in enumerate(("½", "①", "Ⅷ ²", "12 !", "ª", "é", "日"))]
+    got = {r.doc_id: r.lang_pred for r in lang_id.predict(make(rows), model).collect()}
+    assert got == {0: "und", 1: "und", 2: "und", 3: "und", 4: "en", 5: "en", 6: "en"}
+
+
+def slow_mixture(text, logs, bins=lang_id._bins):
+    """Best language, share and number of languages of one text by loops over its blocks."""
+    import math
+
+    b = bins(lang_id._normal(text.encode()))
+    blocks = [b[i : i + lang_id.BLOCK] for i in range(0, len(b), lang_id.BLOCK)]
+    like = [[sum(float(row[x]) for x in block) for row in logs] for block in blocks]
+
+    def em(allowed):
+        w = {j: 1 / len(allowed) for j in allowed}
+        p = [{j: math.exp(x[j] - max(x)) for j in allowed} for x in like]
+        for _ in range(lang_id.ROUNDS):
+            r = [{j: w[j] * q[j] / max(sum(w[k] * q[k] for k in allowed), 1e-300) for j in allowed} for q in p]
+            w = {j: sum(x[j] for x in r) / len(r) for j in allowed}
+        ll = sum(math.log(max(sum(w[j] * q[j] for j in allowed), 1e-300)) + max(x) for q, x in zip(p, like, strict=True))
+        return w, ll
+
+    full, _ = em(range(len(logs)))
+    order = sorted(full, key=lambda j: (-full[j], j))
+    best = None
+    for k in range(1, len(logs) + 1):
+        w, ll = em(order[:k])
+        worth = ll - 2 * k * math.log(max(len(b), 2))
+        if best is None or worth > best[0]:
+            best = worth, w, k
+    pick = min(best[1], key=lambda j: (-best[1][j], j))
+    return pick, min(full[pick], best[1][pick]), best[2]
+
+
+def test_mixture_equals_loops(make):
+    langs = {"en": "the thing that they think this then ", "de": "und der die ich nicht auch sich ", "fr": "les des une pour dans avec vous "}
+    names, logs = lang_id.train(make([(i, t * 30, x) for i, (x, t) in enumerate(langs.items())]))
+    r = random.Random(4)
+    texts = ["".join(r.choice([*langs.values()]) * r.randrange(1, 25) for _ in range(r.randrange(1, 5))) for _ in range(40)] + ["der", "a"]
+    pick, share, many = lang_id.infer([lang_id._normal(t.encode()) for t in texts], logs)
+    for t, p, s, k in zip(texts, pick, share, many, strict=True):
+        want = slow_mixture(t, logs)
+        assert (p, k) == (want[0], want[2]) and s == pytest.approx(want[1], abs=1e-6)
+    alone = lang_id.infer([lang_id._normal(texts[3].encode())], logs)
+    assert (alone[0][0], alone[2][0]) == (pick[3], many[3])
+
+
+def test_keep_known(make):
+    rows = [(1, "the thing that they think " * 9, "en"), (2, "12 !", "en"), (3, None, "en"), (None, "der die ich " * 9, "de"), (4, "", None), (4, "think", None)]
+    docs = make(rows)
+    kept = lang_id.keep_known(docs, lang_id.train(docs))
+    assert kept.schema == docs.schema and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "4", "None"]
+    blank = make([(1, "plain text"), (2, "more"), (3, "...")], "blank")
+    assert sorted(r.doc_id for r in lang_id.keep_known(blank, lang_id.train(blank)).collect()) == [1, 2]
+
+
+def test_users_own_row_column_stays(make):
+    from lodestar.llm import near_dedup
+
+    docs = make([(1, "one two three four five six"), (2, "one two three four five six"), (3, "x")]).withColumnsRenamed({"row": "__row", "id": "__ROW_"})
+    for out in (near_dedup.drop_near_duplicates(docs), simhash_dedup.drop_near_duplicates(docs), exact_dedup.drop_exact_duplicates(docs)):
+        assert out.columns == docs.columns and sorted((r.doc_id, r["__row"]) for r in out.collect()) == [(1, 7), (3, 7)]
+
+
 # Benchmark leaks
 
 
