@@ -2,7 +2,8 @@
 
 DataFrame and SQL functions only. Features are binned, so labelled URLs come down to a
 table of distinct binned rows with counts, whose size depends on the number of bins and
-not on the number of URLs. Each level of each tree is one small aggregate over that table;
+not on the number of URLs. Suffix statistics are a table of their own that URLs join; the
+labels a row was counted in never decide its own statistic (folds). Each level of each tree is one small aggregate over that table;
 the finished trees are one expression.
 """
 
@@ -27,14 +28,18 @@ EDGES = {
     "hyphens": [0, 1, 2, 4],
     "suffix_rate": [0.05, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95],
 }
-#: Host suffixes with statistics of their own: at most so many, each with so many labelled URLs.
-SUFFIXES, SUFFIX_LEAST = 1000, 5
+#: Folds of labelled URLs, by host, and the weight of the mean in a suffix's rate.
+FOLDS, MEAN = 5, 4
+#: Suffixes up to which their table is sent to every executor.
+SMALL = 100_000
 
 
 @dataclass
 class Model:
+    """rates: (suffix, own), the share of blocked URLs for each suffix of a labelled host; rate: that of all."""
+
     prior: float = 0.0
-    rates: dict[str, float] = field(default_factory=dict)
+    rates: DataFrame | None = None
     rate: float = 0.5
     trees: list = field(default_factory=list)
 
@@ -61,14 +66,13 @@ def _suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def features(url: Column, host: Column, path: Column, rates: dict[str, float], rate: float) -> dict[str, Column]:
-    """The lexical features of a URL."""
+def features(url: Column, host: Column, path: Column, rate: Column) -> dict[str, Column]:
+    """The lexical features of a URL whose suffix has a rate."""
     url = F.coalesce(url, F.lit(""))
     n = F.greatest(F.char_length(url), F.lit(1))
     counts = F.transform(F.array_distinct(F.split(url, "")), lambda c: (n - F.char_length(F.replace(url, c, F.lit("")))) / n)
     entropy = F.aggregate(counts, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    own = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[_suffix(host)] if rates else F.lit(None).cast("double")
     return {
         "length": F.char_length(url),
         "host_length": F.char_length(host),
@@ -78,10 +82,15 @@ def features(url: Column, host: Column, path: Column, rates: dict[str, float], r
         "entropy": entropy,
         "parameters": F.when(query == "", 0).otherwise(F.size(F.split(query, "[&;]"))),
         "hyphens": F.char_length(host) - F.char_length(F.replace(host, F.lit("-"), F.lit(""))),
-        "suffix_rate": F.coalesce(own, F.lit(rate)),
+        "suffix_rate": rate,
     }
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has been counted and found small."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def _bin(value: Column, edges: list) -> Column:
     out = F.lit(len(edges))
     for i in range(len(edges) - 1, -1, -1):
@@ -98,27 +107,31 @@ def _grow(tree, leaf):
 
 
 def train(urls: DataFrame, url_col: str, blocked_col: str, rounds: int = 8, depth: int = 3, rate: float = 0.4, smooth: float = 1.0) -> Model:
-    """Fit on all rows of urls whose blocked_col is not null.
+    """Fit on all rows of urls whose blocked_col is not null; a null URL is one without host and path.
 
-    Without both kinds of label the model is a constant; without any label it allows.
+    Repeated URLs count as often as they stand there. Without both kinds of label the model is a constant; without any label it allows.
     """
     host, path = host_and_path(F.col(url_col))
     rows = urls.where(F.col(blocked_col).isNotNull()).select(F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(blocked_col).cast("int").alias("y"))
-    per = rows.groupBy(_suffix(F.col("host")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
-    n, y = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
+    rows = rows.withColumn("suffix", _suffix(F.col("host"))).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
+    # Suffix and fold first: one small table gives all counts, with and without a fold.
+    each = cut(rows.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")))
+    n, y = each.agg(F.sum("n"), F.sum("y")).first()
     if not n:
         return Model(prior=-1.0)
     import math
 
     share = (y + 0.5) / (n + 1)
-    best = per.where(F.col("n") >= SUFFIX_LEAST).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    model = Model(math.log(share / (1 - share)), {r.suffix: (r.y + 4 * share) / (r.n + 4) for r in best}, share)
+    rated = lambda y, n: (y + MEAN * share) / (n + MEAN)
+    per = each.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("y").alias("all_y"))
+    model = Model(math.log(share / (1 - share)), cut(per.select("suffix", rated(F.col("all_y"), F.col("all_n")).alias("own"))), share)
     if y in (0, n):
         return model
+    others = each.join(per, "suffix").select("suffix", "fold", rated(F.col("all_y") - F.col("y"), F.col("all_n") - F.col("n")).alias("own"))
     names = list(EDGES)
-    got = features(F.col("url"), F.col("host"), F.col("path"), model.rates, model.rate)
-    binned = rows.select("y", *[_bin(got[k], EDGES[k]).alias(k) for k in names])
-    table = cut(binned.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).coalesce(1))  # bounded by the bins
+    got = features(F.col("url"), F.col("host"), F.col("path"), F.col("own"))
+    binned = rows.join(_small(others), ["suffix", "fold"]).select("y", *[_bin(got[k], EDGES[k]).alias(k) for k in names])
+    table = cut(binned.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")))  # bounded by the bins
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-margin(model)))
         graded = table.select(*names, (F.col("y") - F.col("n") * p).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
@@ -168,11 +181,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: Model, id_
 
     A null URL and one without :// have an empty host and path, so no rule with a host fits
     and the model decides from their features. Repeated rows and null ids stay; other
-    columns are ignored. There is no shuffle.
+    columns are ignored. Unless there are more suffixes than SMALL, nothing is shuffled.
     """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
-    got = features(F.col("url"), F.col("host"), F.col("path"), model.rates, model.rate)
+    if model.rates is None:
+        parsed = parsed.withColumn("own", F.lit(None).cast("double"))
+    else:
+        parsed = parsed.withColumn("suffix", _suffix(F.col("host"))).join(_small(model.rates), "suffix", "left")
+    got = features(F.col("url"), F.col("host"), F.col("path"), F.coalesce("own", F.lit(model.rate)))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     binned = parsed.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), *[_bin(got[k], EDGES[k]).alias(k) for k in EDGES])
     scored = binned.select("id", "host", "path", "rule", "ruled", (1 / (1 + F.exp(-margin(model)))).alias("block_score"))

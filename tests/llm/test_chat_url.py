@@ -91,6 +91,13 @@ def split(url):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:n]), path[:m]
 
 
+def slow_rule(url):
+    """(host, path, rule, verdict) of a url by the rules of the queries."""
+    host, path = split(url)
+    fits = [(len(h + p), h + p, v) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
 def test_rules(spark):
     urls = [None, "", "abc", "://", "http://", "HTTP://WWW.Example.COM/en/1", "http://example.com/en/", "http://a.example.com/en/x?y#z", "http://example.com/EN/", "http://notexample.com/en/", "http://x.com", "http://x.com?/en/", "http://com/", "http://net/es/a", "http://a.b.net/fr/", "http://a.net/de/?es", "x://y://example.com/en/", "http://É.com/\n/é", "http://www.example.com/en/", "http://m.www.example.com/en/q", "h://" + "a" * 50_000 + ".net/es/" + "b?" * 9]
     rows = [(i, u, "x", "y", 1) for i, u in enumerate(urls)] + [(None, urls[6], "x", "y", 1)] * 2
@@ -130,3 +137,17 @@ def test_turns_in_nanoseconds(spark):
     assert [r.turn for r in out] == turns and len({r.seq for r in out}) == len(turns)
     assert {r.action for r in out} == {"keep"}
     assert "".join(r.rendered for r in out) == "".join(chat._open(1 + i % 2) + f"m{i}" + chat.CLOSE for i in range(len(turns)))
+
+
+def test_trees_on_held_out_urls(spark):
+    """Labelled URLs the trees have not seen, and statistics that never hold a row's own label."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    labelled = url_filter.labelled_by(pages, URL_RULES).where("blocked IS NOT NULL")
+    held = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(5)) == 0
+    model = url_filter.train(labelled.where(~held), "url", "blocked")
+    test = labelled.where(held).select("url", "blocked").distinct().withColumn("page_id", F.monotonically_increasing_id()).cache()
+    out = url_filter.judge(test, [], model).join(test, "page_id").agg(F.avg((F.col("blocked") == (F.col("verdict") == "block")).cast("int")), F.avg(F.col("blocked").cast("int")), F.count(F.lit(1))).first()
+    print("held-out accuracy", out[0], "of", out[2], "blocked", out[1])
+    assert out[0] > max(out[1], 1 - out[1]) and out[2] > 100
