@@ -1,13 +1,17 @@
 """Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
-Every word has a type: itself if frequent, else one of a fixed number of types by its last
-two bytes. Exchange clustering assigns types, and so all words, to classes; the bigrams of
-types of the whole corpus decide. Types are few by construction, so what the driver sees
-is bounded, while the counts of words stay a distributed table.
-
-P(w | v) = a P(class w | class v) P(w | class w) + (1 - a) P(w). With add-one emissions both
-terms have the factor count(w) + 1, so a text's score is the sum of log10(count + 1), which
-frequent words look up and rare ones join, and of a table over pairs of classes.
+The most frequent words, and one type for all other words of a like ending, are clustered by
+exchange over their bigrams in the whole corpus. Each further word then joins the class that
+its own neighbours make most likely: the counts of classes before and after each word are
+gathered over the whole corpus, combined before and after the shuffle, so they grow with the
+vocabulary while no task or driver holds more than a bounded part. Only words too rare to
+tell, and unseen ones, stay in the class of their ending.
+
+P(w | v) = a P(class of w | context of v) P(w | class of w) + (1 - a) P(w). The context of v
+is its class by exchange or ending, which every worker knows without a join. With add-one
+emissions both terms have the factor count(w) + 1, so a text's score is the sum of
+log10(count + 1) and of a table over (context, class); frequent words look both up, rare
+ones join them.
 """
 
 from __future__ import annotations
@@ -15,9 +19,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +35,7 @@ HELD = 300_000
 
 @dataclass
 class Model:
-    """words: (word, n) for all training words. known: the frequent ones with counts and types."""
+    """words: (word, n, cls) for all training words but those of the exchange. known: the frequent ones with counts and classes; context: classes of types."""
 
     words: DataFrame
     tokens: int
@@ -37,10 +43,11 @@ class Model:
     end: int
     known: dict[bytes, tuple[int, int]]
     least: int
-    classes: np.ndarray
+    context: np.ndarray
     table: np.ndarray
     frequent: int
     tails: int
+    first: dict[bytes, int]
 
 
 def _tail_type(word: bytes, frequent: int, tails: int) -> int:
@@ -138,13 +145,145 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return np.where(of < 0, 1, of)  # types that never came up
 
 
-def fit(docs: DataFrame, text_col: str = "text", classes: int = 48, frequent: int = 640, tails: int = 255, looked_up: int = 65_536, mix: float = 0.9) -> Model:
+class _Numbers(dict):
+    """Numbers for words in the order in which they come up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def neighbours(docs: DataFrame, text_col: str, types, of: np.ndarray, frequent: int, tails: int, classes: int) -> DataFrame:
+    """(word, dense, held) of each word outside the exchange: contexts before and after it, several rows a word.
+
+    held is two bytes for each occurrence (the context before, and classes + the one after),
+    or once that would be longer, the 64-bit counts of all of them (dense).
+    """
+    end = frequent + tails
+
+    def work(batches):
+        cache = _Types(types.value, frequent, tails)
+        cache[None] = end
+        names = _Numbers()
+        at: list[np.ndarray] = []
+        codes: list[np.ndarray] = []
+
+        def take(words: list[bytes | None]):
+            t = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+            mine = (t >= frequent) & (t < end)
+            at.append(np.fromiter(map(names.__getitem__, compress(words, mine.tolist())), np.int64, int(mine.sum())))
+            c, here = of[t].astype(np.uint8), np.flatnonzero(mine)
+            codes.append(np.column_stack([c[here - 1], c[here + 1] + np.uint8(classes)]))
+
+        def out():
+            w, x = np.concatenate(at), np.concatenate(codes)
+            x = x[np.argsort(w, kind="stable")]
+            many = np.bincount(w, minlength=len(names))
+            keys, edge = pa.array(list(names), pa.binary()), np.r_[0, np.cumsum(many)]
+            long = 2 * many > 16 * classes
+            for k in np.flatnonzero(long).tolist():
+                held = np.bincount(x[edge[k] : edge[k + 1]].ravel(), minlength=2 * classes).astype(np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays([keys.slice(k, 1), pa.array([True]), pa.array([held], pa.binary())], names=["word", "dense", "held"])
+            few = np.flatnonzero(~long)
+            x = np.ascontiguousarray(x[~np.repeat(long, many)]).ravel()
+            ends = np.r_[0, 2 * np.cumsum(many[few])].astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), len(few), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+            keys = keys.take(pa.array(few))
+            for k in range(0, len(few), 100_000):
+                yield pa.RecordBatch.from_arrays([keys.slice(k, 100_000), pa.array(np.zeros(len(keys.slice(k, 100_000)), bool)), held.slice(k, 100_000)], names=["word", "dense", "held"])
+            names.clear()
+            at.clear()
+            codes.clear()
+
+        words, size = [None], 0
+        for batch in batches:
+            for text in batch.column(0):
+                words += text.as_py().lower().split()
+                words.append(None)
+                if len(words) > 200_000:
+                    take(words)
+                    size += len(words)
+                    words = [None]
+                    if size > 4_000_000:
+                        yield from out()
+                        size = 0
+        if len(words) > 1:
+            take(words)
+        if at:
+            yield from out()
+
+    return docs.select(text_bytes(text_col).alias("text")).mapInArrow(work, "word binary, dense boolean, held binary")
+
+
+def placed(contexts: DataFrame, m: np.ndarray, of: np.ndarray, frequent: int, tails: int, least: int) -> DataFrame:
+    """(word, n, cls, sums) from neighbours(): each word once with the class its neighbours make most likely.
+
+    Rows without a word have, for each class that a task has filled, sums: the contexts
+    before its words, its tokens and its words.
+    """
+    classes = len(m)
+    before = np.log((m + 0.5) / (m.sum(0) + 0.5 * classes))  # context before, class
+    after = np.log((m + 0.5) / (m.sum(1, keepdims=True) + 0.5 * classes)).T  # context after, class
+
+    def work(batches):
+        total = np.zeros((classes, classes + 2), np.int64)
+        last = None  # the word that may go on in the next batch, with its counts
+
+        def out(words: pa.Array, x: np.ndarray):
+            lft, rgt = x[:, :classes], x[:, classes:]
+            n = lft.sum(1)
+            fit = lft @ before + rgt @ after
+            fit[:, 0] = -np.inf  # of the end
+            c, rare = fit.argmax(1), np.flatnonzero(n < least)
+            c[rare] = of[[_tail_type(w, frequent, tails) for w in words.take(pa.array(rare)).to_pylist()]] if len(rare) else 0
+            for k in range(classes):
+                total[k, :classes] += lft[c == k].sum(0)
+            total[:, classes] += np.bincount(c, n, classes).astype(np.int64)
+            total[:, classes + 1] += np.bincount(c, minlength=classes)
+            return pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(c.astype(np.int32)), pa.array([None] * len(n), pa.list_(pa.int64()))], names=["word", "n", "cls", "sums"])
+
+        for batch in batches:
+            words, dense, held = batch.columns
+            if not len(words):
+                continue
+            new = np.r_[True, pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)]
+            of_row = np.cumsum(new) - 1
+            dense = dense.to_numpy(zero_copy_only=False)
+            ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
+            data = np.frombuffer(held.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            row = np.repeat(np.arange(len(held)), np.diff(ends))
+            short = ~dense[row]
+            width = 2 * classes
+            x = np.bincount(of_row[row[short]] * width + data[short], minlength=(of_row[-1] + 1) * width).reshape(-1, width)
+            for i in np.flatnonzero(dense).tolist():
+                x[of_row[i]] += np.frombuffer(held[i].as_py(), np.int64)
+            words = words.take(pa.array(np.flatnonzero(new)))
+            if last is not None:
+                if words[0].equals(last[0][0]):
+                    x[0] += last[1][0]
+                else:
+                    yield out(*last)
+            last = words.slice(len(words) - 1), x[-1:].copy()
+            if len(words) > 1:
+                yield out(words.slice(0, len(words) - 1), x[:-1])
+        if last is not None:
+            yield out(*last)
+        at = np.flatnonzero(total[:, -1])
+        yield pa.RecordBatch.from_arrays([pa.array([None] * len(at), pa.binary()), pa.array([0] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.int64()))], names=["word", "n", "cls", "sums"])
+
+    return cut(contexts.repartition("word").sortWithinPartitions("word").mapInArrow(work, "word binary, n long, cls int, sums array<long>"))
+
+
+def fit(docs: DataFrame, text_col: str = "text", classes: int = 48, frequent: int = 640, tails: int = 255, least_seen: int = 3, looked_up: int = 65_536, mix: float = 0.9) -> Model:
     """Learn from all rows of docs.
 
-    frequent and tails bound the number of types, and with it the counts of their pairs;
-    looked_up bounds the words sent to every executor. All other words are joined when
-    scoring. Nothing of the corpus is left out.
+    frequent and tails are the types that exchange clustering moves; words seen least_seen
+    times or more then choose their class by their own neighbours. looked_up bounds the
+    words sent to every executor; all others are joined when scoring. Nothing of the corpus
+    is left out.
     """
+    if classes > 127:
+        raise ValueError("contexts before and after are kept in one byte: at most 127 classes")
     words = cut(word_counts(docs, text_col))
     texts = docs.count()
     # Counts at which few enough words are at least as frequent, from a small histogram.
@@ -157,7 +296,6 @@ def fit(docs: DataFrame, text_col: str = "text", classes: int = 48, frequent: in
         least = r.least
     got = words.where(F.col("n") >= least).toArrow()
     top = sorted(zip(got.column("n").to_pylist(), got.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    known = {w: (n, i if i < frequent else _tail_type(w, frequent, tails)) for i, (n, w) in enumerate(top)}
     n_types = frequent + tails + 1
     end = n_types - 1
     types = docs.sparkSession.sparkContext.broadcast({w: i for i, (_, w) in enumerate(top[:frequent])})
@@ -188,28 +326,29 @@ def fit(docs: DataFrame, text_col: str = "text", classes: int = 48, frequent: in
     counts[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
     counts = counts.reshape(n_types, n_types)
     of = exchange(counts, classes)
+    one = np.eye(classes)[of]
 
-    def totals(batches):
-        cache = _Types(types.value, frequent, tails)
-        n, v = np.zeros(n_types, np.int64), np.zeros(n_types, np.int64)
-        for batch in batches:
-            t = np.fromiter(map(cache.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows)
-            n += np.bincount(t, batch.column(1).to_numpy(), n_types).astype(np.int64)
-            v += np.bincount(t, minlength=n_types)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_types, dtype=np.int32)), pa.array(n), pa.array(v)], names=["type", "n", "v"])
-
-    per = words.mapInArrow(totals, "type int, n long, v long").groupBy("type").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    rest = placed(neighbours(docs, text_col, types, of, frequent, tails, classes), one.T @ counts @ one, of, frequent, tails, least_seen)
     size, kinds = np.zeros(classes), np.zeros(classes)
-    for r in per:
-        size[of[r.type]] += r.n
-        kinds[of[r.type]] += r.v
+    m = one.T @ counts[:, :frequent] @ one[:frequent]  # contexts before the words of the exchange
+    m[:, 0] += one.T @ counts[:, end]
+    for i, (n, _) in enumerate(top[:frequent]):
+        size[of[i]] += n
+        kinds[of[i]] += 1
+    for r in rest.where("word IS NULL").groupBy("cls").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(classes + 2)]).collect():
+        m[:, r.cls] += r[1 : classes + 1]
+        size[r.cls] += r[classes + 1]
+        kinds[r.cls] += r[classes + 2]
     size[0], kinds[0] = texts, bool(texts)
     tokens, distinct = int(size.sum()), int(kinds.sum())
-    one = np.eye(classes)[of]
-    m = one.T @ counts @ one
     step = (m + 0.5) / (m.sum(1, keepdims=True) + 0.5 * classes)
     table = np.log10(mix * step / (size + kinds + 1) + (1 - mix) / (tokens + distinct + 1))
-    return Model(words, tokens, distinct, texts, known, least, of, table, frequent, tails)
+    rest = rest.where("word IS NOT NULL").drop("sums")
+    known = {w: (n, int(of[i])) for i, (n, w) in enumerate(top[:frequent])}
+    known |= {r.word: (r.n, r.cls) for r in rest.where(F.col("n") >= least).toLocalIterator()}
+    known = {bytes(w): x for w, x in known.items()}
+    first = {w: int(of[i]) for i, (_, w) in enumerate(top[:frequent])}
+    return Model(rest, tokens, distinct, texts, known, least, of, table, frequent, tails, first)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: dict[str, Column] | None = None) -> DataFrame:
@@ -218,30 +357,33 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Tokens are words of ASCII white space with A-Z lower-cased, then one end. base_score is
     the add-one unigram log10 probability, score the model's. A null or empty text has the
     end alone. Each row is scored by itself, so repeated rows and null ids stay as they
-    are; other columns are ignored. A model of no text knows no token.
+    are; other columns are ignored. A model of no text knows no token. docs must be a stored
+    table, whose rows are in the same places each time it is read.
     """
     also = also or {}
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.classes, model.table))
+    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.context, model.table))
     end, frequent, tails = model.end, model.frequent, model.tails
+    first = model.first
 
     def work(batches):
         known, of, table = shared.value
-        count = {w: n for w, (n, _) in known.items()}
-        cls = {w: int(of[t]) for w, (_, t) in known.items()}
         tail = of[frequent : frequent + tails].tolist()
-        logs = {w: float(np.log10(n + 1)) for w, n in count.items()}
+        # What a token adds: log10(count + 1), its class, and its class as a context.
+        order = list(known)
+        logs = np.array([*(np.log10(known[w][0] + 1) for w in order), 0.0])
+        cls = np.array([*(known[w][1] for w in order), 0])
 
-        class Classes(dict):
+        class Places(dict):
             def __missing__(self, w):
-                return tail[zlib.crc32(w[-2:]) % tails]
+                return len(order)
 
-        class Zero(dict):
+        class Contexts(dict):
             def __missing__(self, w):
-                return None
+                return tail[zlib.crc32(w[-2:]) % tails]
 
-        cls, logs = Classes(cls), Zero(logs)
-        names = ["row", "word", "times", "n_tokens", "n_known", "logs", "steps"]
+        place, context = Places({w: i for i, w in enumerate(order)}), Contexts(first)
+        names = ["row", "word", "before", "cls", "n_tokens", "n_known", "logs", "steps"]
         for batch in batches:
             cols = [[] for _ in names]
 
@@ -251,29 +393,38 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 w = text.as_py().lower().split()
-                c = np.fromiter(map(cls.__getitem__, w), np.int64, len(w))
-                c = np.concatenate(([0], c, [0]))
-                got = list(map(logs.__getitem__, w))
-                rare = Counter(x for x, g in zip(w, got, strict=True) if g is None)
-                n_rare = sum(rare.values())
-                put(row, b" %d" % row, 0, len(w) + 1, len(w) - n_rare + (end > 0), sum(g for g in got if g is not None) + float(np.log10(end + 1)), float(table[c[:-1], c[1:]].sum()))
-                for x, k in rare.items():
-                    put(row, x, k, None, None, None, None)
+                at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
+                d = np.concatenate(([0], np.fromiter(map(context.__getitem__, w), np.int64, len(w))))
+                is_rare = at == len(order)
+                met = ~is_rare
+                steps = table[d[:-1][met], cls[at[met]]].sum() + table[d[-1], 0]
+                put(row, b" %d" % row, None, None, len(w) + 1, int(met.sum()) + (end > 0), float(logs[at[met]].sum() + np.log10(end + 1)), float(steps))
+                rare: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(is_rare).tolist():
+                    rare.setdefault(w[i], []).append(int(d[i]))
+                for x, before in rare.items():
+                    put(row, x, before, tail[zlib.crc32(x[-2:]) % tails], None, None, None, None)
                 if len(cols[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
                     cols = [[] for _ in names]
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
 
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     base = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text_bytes(text_col).alias("text"), *[c.alias(f"also_{k}") for k, c in also.items()])
-    spelled = base.select("row", "text").mapInArrow(work, "row long, word binary, times long, n_tokens long, n_known long, logs double, steps double")
+    spelled = base.select("row", "text").mapInArrow(work, "row long, word binary, before array<int>, cls int, n_tokens long, n_known long, logs double, steps double")
     # A text's own row has a key that no word has, so that rows spread evenly.
-    rare = model.words.where(F.col("n") < model.least)
+    rare = model.words.where(F.col("n") < model.least).withColumnRenamed("cls", "own")
     met = spelled.join(rare, "word", "left")
+    many, width = F.size("before"), model.table.shape[1]
+    table = F.lit(model.table.ravel().tolist())
+    cls = F.coalesce("own", "cls")
+    step = F.aggregate("before", F.lit(0.0), lambda a, d: a + F.get(table, d * width + cls))
+    told = F.col("before").isNotNull()
     parts = met.groupBy("row").agg(
-        F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
-        (F.max("logs") + F.sum(F.coalesce(F.col("times") * F.log10(F.col("n") + 1), F.lit(0.0)))).alias("logs"), F.max("steps").alias("steps"),
+        F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(told & F.col("n").isNotNull(), many).otherwise(0))).alias("n_known"),
+        (F.max("logs") + F.sum(F.when(told & F.col("n").isNotNull(), many * F.log10(F.col("n") + 1)).otherwise(0.0))).alias("logs"),
+        (F.max("steps") + F.sum(F.when(told, step).otherwise(0.0))).alias("steps"),
     )
     head = base.drop("text").join(parts, "row")
     unit = float(np.log10(model.tokens + model.distinct + 1))

@@ -1,6 +1,7 @@
 """The class model: exact base scores, a proper distribution, and gain on held-out text."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -37,17 +38,52 @@ def test_untrained(odd, empty):
     assert class_lm.score(empty, model).count() == 0
 
 
+def slow_score(model, text, counts):
+    """The model's log10 probability of a text, token by token from its tables."""
+    placed = {bytes(r.word): r.cls for r in model.words.collect()} | {w: c for w, (_, c) in model.known.items()}
+    tail = lambda w: int(model.context[class_lm._tail_type(w, model.frequent, model.tails)])
+    out, before = 0.0, 0
+    for w in tokens(text):
+        own = 0 if w is None else placed.get(w, tail(w))
+        out += model.table[before, own] + math.log10(counts[w] + 1)
+        before = 0 if w is None else model.first.get(w, tail(w))
+    return out
+
+
+@pytest.mark.parametrize("looked_up", [65_536, 6, 0])
+def test_scores_equal_loops(make, looked_up):
+    r = random.Random(3)
+    kinds = [[f"{k}{i}" for i in range(12)] for k in ("noun", "verb", "adj", "of")]
+    text = lambda: " ".join(r.choice(kinds[i % 4]) for i in range(r.randrange(1, 30)))
+    train = [text() for _ in range(150)] + ["odd rare words here"]
+    model = class_lm.fit(make(list(enumerate(train)), "train"), classes=6, frequent=5, tails=7, least_seen=3, looked_up=looked_up)
+    counts = Counter(x for t in train for x in tokens(t))
+    rows = [(i, text() + " unseen words " + text()) for i in range(20)] + [(90, None), (91, "rare rare odd")] + ODD
+    got = sorted((str(x.doc_id), round(x.score, 6)) for x in class_lm.score(make(rows), model).collect())
+    assert got == sorted((str(i), round(slow_score(model, t, counts), 6)) for i, t in rows)
+
+
+def test_words_choose_the_class_of_their_neighbours(make):
+    """Words outside the exchange that stand where a class stands join it, whatever their ending."""
+    r = random.Random(5)
+    rows = []
+    for i in range(400):
+        w = []
+        for _ in range(6):
+            w += [r.choice(["the", "a"]), r.choice(["cat", "dog"]) if r.random() < 0.7 else r.choice([f"{x}ing" for x in "bcdfgh"]), r.choice(["runs", "sits"]) if r.random() < 0.7 else r.choice([f"{x}ing" for x in "klmnpq"])]
+        rows.append((i, " ".join(w)))
+    model = class_lm.fit(make(rows), classes=4, frequent=6, tails=3)
+    of = {bytes(x.word).decode(): x.cls for x in model.words.collect()}
+    assert {of[f"{x}ing"] for x in "bcdfgh"} == {model.known[b"cat"][1]} and {of[f"{x}ing"] for x in "klmnpq"} == {model.known[b"runs"][1]}
+
+
 def test_one_step_sums_to_one(make):
     train = ["a b c a b", "b c a", "c c d"]
-    model = class_lm.fit(make(list(enumerate(train)), "train"), classes=3, frequent=2, tails=3)
-    words = ["a", "b", "c", "d"]
-    out = {r.doc_id: r.score for r in class_lm.score(make([(i, w) for i, w in enumerate(words)] + [(9, None)]), model).collect()}
-    c = Counter(x for t in train for x in tokens(t))
-    after = lambda w: (model.classes[model.known[w][1]] if w else 0)
-    step = lambda v, w: model.table[after(v), after(w)] + math.log10(c[w] + 1)
-    for i, w in enumerate(words):
-        assert out[i] == pytest.approx(step(None, w.encode()) + step(w.encode(), None))
-    assert sum(10 ** step(None, w.encode()) for w in words) + 10 ** step(None, None) < 1
+    model = class_lm.fit(make(list(enumerate(train)), "train"), classes=3, frequent=2, tails=3, least_seen=1)
+    counts = Counter(x for t in train for x in tokens(t))
+    cls = {w: c for w, (_, c) in model.known.items()} | {None: 0}
+    for before in range(3):
+        assert sum(10 ** (model.table[before, cls[w]] + math.log10(n + 1)) for w, n in counts.items()) < 1
 
 
 def test_exchange_finds_classes():
