@@ -24,7 +24,7 @@ OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Bytes that no white space but the blank and the line feed has in UTF-8.
 _PLAIN = bytes(c for c in range(256) if c not in b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3")
 #: Entries of a worker's cache of pieces before it starts anew, and bytes encoded at once.
-CACHE, SLICE = 400_000, 1_000_000
+CACHE, SLICE = 200_000, 1_000_000
 
 
 @lru_cache(maxsize=4)
