@@ -24,7 +24,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row, that of the smallest doc_id, of each group that links of similarity 0.8 over five-word shingles connect."""
+    """Keeps one row, that of the smallest doc_id, of each group that links of similarity 0.8 over five-word shingles connect.
+
+    Deletion variants of SimHash segments propose the links, the sets of shingles decide.
+    """
     return simhash_dedup.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
@@ -40,7 +43,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", known_language), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("decontamination", benchmark_leaks), ("packing", packed)]
 
-#: MinHash, language models and packing are beyond SQL; tests/llm/test_near.py holds run() against brute-force near copies.
+#: Fingerprints, language models and packing are beyond SQL; tests/llm/test_near.py holds run() against brute-force near copies.
 ORACLE_SQL = None
 
 

@@ -239,8 +239,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, similarity: float | No
 
     Without a similarity, links are those of near_duplicates: fingerprints at most two bits
     apart. With one, texts are linked whose sets of shingles have that Jaccard similarity at
-    least; at 0.8 fingerprints differ in 10 of 64 bits, where deletion variants select
-    nothing, so near_dedup finds the candidates then.
+    least; at 0.8 fingerprints differ in 15 of 100 bits, so near_dedup then takes longer ones,
+    indexes each of their segments under its deletion variants and decides by the sets.
 
     The row with the smallest id stays (null ids last), of rows that share it the first in
     docs. docs must be a stored table, whose rows are in the same places each time it is read.

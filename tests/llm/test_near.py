@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,76 @@ def test_near_copies(make, most):
     assert sorted(x.doc_id for x in near_dedup.drop_near_duplicates(make(rows), most=most).collect()) == want
 
 
+def signed(rows):
+    """(node, n, fingerprint as a number) of each text."""
+    held = [near_dedup.shingle_set(t.encode(), 5, 42) for _, t in rows]
+    return [(k, len(h), int.from_bytes(near_dedup.fingerprint(h, 42).tobytes(), "little")) for k, h in enumerate(held)]
+
+
+def shares_a_variant(x, y, start=0, stop=near_dedup.SEGMENTS):
+    """Whether two fingerprints differ in a bit at most of some segment, and little in the bits before all segments."""
+    apart = (x ^ y) >> near_dedup.CHECK
+    near = any((apart >> k * near_dedup.WIDTH & (1 << near_dedup.WIDTH) - 1).bit_count() <= 1 for k in range(start, stop))
+    return near and ((x ^ y) & (1 << near_dedup.CHECK) - 1).bit_count() <= near_dedup.RADIUS
+
+
+def proposed_by_brute_force(nodes):
+    return {(a, b) for b, n_b, y in nodes for a, n_a, x in nodes[:b] if min(n_a, n_b) >= 0.8 * max(n_a, n_b) and min(n_a, n_b) > 3 and shares_a_variant(x, y)}
+
+
+@pytest.mark.parametrize("most", [10**6, 4, 0])
+def test_deletion_variants_propose(spark, most):
+    """Candidates are the pairs of fingerprints that share a variant, no others but those of groups."""
+    nodes = signed(copies(8, groups=12) + copies(9, 2, 60, 5))
+    want = proposed_by_brute_force(nodes)
+    assert len(want) > 150
+    table = spark.createDataFrame([(k, n, bytearray(fp.to_bytes(8 * near_dedup.LONGS, "little"))) for k, n, fp in nodes], "node long, n int, fp binary")
+    pairs, crowds, groups = near_dedup.candidates(table, 0.8, most)
+    got = {(x.a, x.b) for x in pairs.collect()}
+    of = {x.node: x.peers for x in groups.collect()}
+    grouped = {(a, b) for a in of for b in of if a < b and of[a] == of[b]}
+    assert got <= want <= got | grouped and not got & grouped
+    assert {z for c in crowds.collect() for z in (c.x.node, c.y.node)} == set(of) and bool(of) == (most < 10**6) and (most or not got)
+
+
+@pytest.mark.parametrize("limits", [(512, 10**6), (3, 10**6), (512, 20)])
+def test_crowded_variants_and_halves(monkeypatch, limits):
+    """Variants and halves with too many members to look at pairs lose none of them, across batches too."""
+    monkeypatch.setattr(near_dedup, "VARIANT", limits[0])
+    monkeypatch.setattr(near_dedup, "GATHERED", limits[1])
+    nodes = signed(copies(10, 2, 60, 5) + copies(11, 10))
+    fps = [fp.to_bytes(8 * near_dedup.LONGS, "little") for *_, fp in nodes]
+    cols = [pa.array([k for k, *_ in nodes]), pa.array([n for _, n, _ in nodes], pa.int32()), pa.array([-1] * len(nodes)), pa.array(fps)]
+    halves = pa.Table.from_batches(near_dedup._halves(0, near_dedup.SEGMENTS)([pa.RecordBatch.from_arrays(cols, names=["node", "n", "peers", "fp"])])).sort_by("key")
+    got, crowds = set(), {}
+    for batch in near_dedup._meet(0.8, 16)(halves.combine_chunks().to_batches(max_chunksize=97)):
+        for x in batch.to_pylist():
+            got.add((x["a"], x["b"])) if x["key"] is None else crowds.setdefault(x["key"], []).append(x["a"])
+    got |= {(a, b) for c in crowds.values() for a in c for b in c if a < b}
+    assert proposed_by_brute_force([x for x in nodes if x[1] > 3]) <= got
+    assert max(map(len, crowds.values())) < len(nodes)
+
+
+def test_fingerprints_reach_the_similarity():
+    """All of 300 pairs of similarity 0.8 share a variant; of 300 pairs without a common shingle none does."""
+    r = np.random.default_rng(3)
+    for shared, wanted in ((80, 300), (0, 0)):
+        hits = 0
+        for _ in range(300):
+            h = r.integers(0, 1 << 63, 180, np.uint64)
+            x, y = (int.from_bytes(near_dedup.fingerprint(part, 42).tobytes(), "little") for part in (h[:90], np.r_[h[:shared], h[90 : 180 - shared]]))
+            hits += shares_a_variant(x, y)
+        assert hits == wanted
+
+
+def test_stage_takes_its_pairs_from_the_fingerprints(spark, make, monkeypatch):
+    """Texts whose fingerprints are left out are linked to none."""
+    docs = make([(k, t) for k, (_, t) in enumerate(copies(12, 6))])
+    kept, propose = corpus_pipeline.near_copies(spark, docs, "").count(), near_dedup.candidates
+    monkeypatch.setattr(near_dedup, "candidates", lambda nodes, *by: propose(nodes.where("node < 0"), *by))
+    assert kept < corpus_pipeline.near_copies(spark, docs, "").count() == docs.select("text").distinct().count()
+
+
 def test_near_copies_of_odd_rows(odd, empty):
     kept = near_dedup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
