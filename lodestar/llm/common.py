@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,16 +70,41 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+#: Links up to which components are found on the driver: 3 MB.
+FEW = 200_000
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links (a, b), and the smallest node that each reaches."""
+    nodes, ends = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = np.split(ends, 2)
+    label, was = np.arange(len(nodes)), None
+    while was is None or (label != was).any():
+        was = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+    return nodes, nodes[label]
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, root), root the smallest node reachable.
 
-    Minimum labels spread along the links and are then short-cut by pointer jumping, so the
+    Up to FEW distinct links are joined on the driver: every round on the executors writes two
+    checkpoints of a file for each partition, however few the rows. More links stay there:
+    minimum labels spread along the links and are then short-cut by pointer jumping, so the
     rounds grow with the logarithm of the longest path in practice. Each round reads labels
     from a checkpoint, so both sides of each join are plain exchanges that adaptive
     execution can split at hubs; the minimum itself is combined before the shuffle.
     No links: no rows.
     """
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    once = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    if once.count() <= FEW:
+        few = once.toArrow()
+        nodes, roots = _roots(*(few.column(x).to_numpy().astype(np.int64) for x in "ab"))
+        return links.sparkSession.createDataFrame(pa.table({"node": nodes, "root": roots}), "node long, root long")
+    both = once.union(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     total = None
     while True:

@@ -285,7 +285,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         sets = F.broadcast(sets)
     a, b = (sets.select(F.col("node").alias(x), F.col("held").alias(f"of_{x}")) for x in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return cut(sized.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("of_a") + F.size("of_b") - both)).alias("j")))
+    return sized.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("of_a") + F.size("of_b") - both)).alias("j"))
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
@@ -313,7 +313,7 @@ def _around(left: DataFrame, sets: DataFrame, fits: Column, similarity: float) -
     votes = held.select("centre", F.explode("held").alias("h")).groupBy("centre", "h").agg(F.count(F.lit(1)).alias("votes"))
     voters = held.groupBy("centre").agg(F.count(F.lit(1)).alias("voters"))
     # No more than twice as many as a set has on average.
-    whole = votes.join(voters, "centre").where(2 * F.col("votes") > F.col("voters")).groupBy("centre").agg(F.collect_list("h").alias("whole"))
+    whole = cut(votes.join(voters, "centre").where(2 * F.col("votes") > F.col("voters")).groupBy("centre").agg(F.collect_list("h").alias("whole")))
     changed = held.join(whole, "centre", "left").withColumn("whole", F.coalesce("whole", F.array().cast("array<bigint>")))
     changed = changed.select("node", "n", "root", "centre", F.array_except("held", "whole").alias("more"), F.size("whole").alias("m"))
     changed = changed.withColumn("u", F.size("more")).withColumn("r", F.col("m") - (F.col("n") - F.col("u")))
@@ -341,7 +341,7 @@ def _links(pairs: DataFrame, crowds: DataFrame, groups: DataFrame, sets: DataFra
     if groups.isEmpty():
         return components(_measured(pairs, sets, similarity).where(F.col("j") >= similarity).select("a", "b"))
     # The weightiest central node of each node's crowds, and that node's own.
-    far = cut(crowds.groupBy("x").agg(F.max(F.struct("weight", "y")).alias("best")).select("x", F.col("best.y").alias("y")))
+    far = crowds.groupBy("x").agg(F.max(F.struct("weight", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
     far = cut(far.join(far.toDF("y", "centre"), "y"))
     met = far.select("x", "y").union(far.select("x", "centre")).where("x <> y")
     measured = _measured(pairs.union(_ordered(met)), sets, similarity)
@@ -368,7 +368,7 @@ def _links(pairs: DataFrame, crowds: DataFrame, groups: DataFrame, sets: DataFra
     met = first.join(other, "h").where(fits & (F.col("x.centre") != F.col("y.centre")))
     open_ = left.join(first.select("x.node").distinct(), "node", "left_semi").join(far.select("node", "centre"), "node")
     met = _ordered(met).union(_ordered(_around(open_, sets, fits, similarity)))
-    more = _measured(met, sets, similarity).where(links).select("a", "b")
+    more = cut(_measured(met, sets, similarity).where(links).select("a", "b"))
     return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import near_dedup
+from lodestar.llm import common, near_dedup
 
 from .conftest import ODD
 from .test_documents import brute_leaks
@@ -129,6 +129,24 @@ def test_stage_takes_its_pairs_from_the_fingerprints(spark, make, monkeypatch):
     assert kept < corpus_pipeline.near_copies(spark, docs, "").count() == docs.select("text").distinct().count()
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_few_links_take_one_checkpoint(spark, monkeypatch, few):
+    """Paths, stars, cycles, repeated links and links of a node to itself; only many links go round after round on the executors."""
+    r, took, cut = random.Random(11), [], common.cut
+    links = [(k, k + 1) for k in range(-40, 0)] + [(500, k) for k in range(501, 540)] + [(k, 900 + (k + 1) % 9) for k in range(900, 909)]
+    links += [(x + 2000, x + 2000 + r.randrange(3)) for x in r.choices(range(300), k=200)] + [(1 << 62, -(1 << 62)), (7, 7), (8, 7), (7, 8)]
+    monkeypatch.setattr(common, "FEW", few, raising=False)
+    monkeypatch.setattr(common, "cut", lambda df: took.append(df) or cut(df))
+    want = {x: x for link in links for x in link if link[0] != link[1]}
+    for _ in want:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert {x.node: x.root for x in common.components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+    assert (len(took) == 1) == (few > 0)
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_copies_of_odd_rows(odd, empty):
     kept = near_dedup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
