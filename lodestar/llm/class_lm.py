@@ -17,9 +17,10 @@ ones join them.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import compress
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_bytes
 
-#: Words a worker counts before it hands its counts on.
-HELD = 300_000
+#: Bytes of text whose words a worker tells apart together.
+BYTES = 8 << 20
 
 
 @dataclass
@@ -54,32 +55,66 @@ def _tail_type(word: bytes, frequent: int, tails: int) -> int:
     return frequent + zlib.crc32(word[-2:]) % tails
 
 
-class _Types(dict):
-    def __init__(self, known: dict[bytes, int], frequent: int, tails: int):
-        super().__init__(known)
-        self.by = frequent, tails
+@lru_cache
+def _endings(frequent: int, tails: int) -> np.ndarray:
+    """Types of all endings, those of one byte first."""
+    return np.array([_tail_type(bytes(x), frequent, tails) for x in [*([a] for a in range(256)), *([a, b] for a in range(256) for b in range(256))]])
 
-    def __missing__(self, word: bytes) -> int:
-        return _tail_type(word, *self.by)
+
+def _tail_types(words: pa.Array, frequent: int, tails: int) -> np.ndarray:
+    """_tail_type of each word; none is empty."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    edge = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    last, other = data[edge[1:] - 1].astype(np.int64), data[edge[1:] - 2].astype(np.int64)
+    return _endings(frequent, tails)[np.where(np.diff(edge) > 1, 256 + 256 * other + last, last)]
+
+
+def _types(words: pa.Array, first: pa.Array, frequent: int, tails: int) -> np.ndarray:
+    """Type of each word: its place in first, the words of the exchange, else that of its ending."""
+    at = pc.index_in(words, value_set=first).fill_null(-1).to_numpy()
+    return np.where(at >= 0, at, _tail_types(words, frequent, tails))
+
+
+def _spelled(batches: Iterable[pa.RecordBatch], column: int = 0, size: int = BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """(rows, words, codes) for rows whose texts have about size bytes together.
+
+    words are the distinct words of ASCII white space, A-Z lower-cased. codes are an end, then
+    each text's words by their places in words and one end. An end is len(words). Words are
+    told apart by Arrow, so no Python object is made for a token.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        text = batch.column(column)
+        starts = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text)].astype(np.int64)
+        new = np.flatnonzero(np.diff((starts - starts[0]) // size)) + 1
+        for a, b in pairwise([0, *new.tolist(), len(text)]):
+            rows = batch.slice(a, b - a)
+            held = rows.column(column)
+            if starts[b - 1] - starts[a] + len(held[-1].as_buffer()) > 2 * size:  # a long text, perhaps of much white space: each byte of it is a cut
+                held = pc.replace_substring_regex(held, "[\\t-\\r ]{2,}", " ")
+            split = pc.ascii_split_whitespace(pc.ascii_lower(held.view(pa.string())))
+            flat, of_text = split.flatten(), np.repeat(np.arange(b - a), split.value_lengths().to_numpy())
+            full = pc.binary_length(flat).to_numpy() > 0  # white space at either end leaves empty strings
+            if not full.all():
+                flat, of_text = flat.filter(pa.array(full)), of_text[full]
+            coded = flat.dictionary_encode()
+            words = coded.dictionary.cast(pa.binary())
+            codes = np.full(len(coded) + b - a + 1, len(words), np.int64)
+            codes[np.arange(len(coded)) + of_text + 1] = coded.indices.to_numpy()
+            yield rows, words, codes
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): words of ASCII white space, A-Z lower-cased; combined in each task first."""
 
     def work(batches):
-        held: Counter[bytes] = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                held.update(text.as_py().lower().split())
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+        for _, words, codes in _spelled(batches):
+            n = pa.array(np.bincount(codes)[:-1])
+            for k in range(0, len(words), 100_000):
+                yield pa.RecordBatch.from_arrays([words.slice(k, 100_000), n.slice(k, 100_000)], names=["word", "n"])
 
     rows = docs.select(text_bytes(text_col).alias("text")).mapInArrow(work, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -145,14 +180,6 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return np.where(of < 0, 1, of)  # types that never came up
 
 
-class _Numbers(dict):
-    """Numbers for words in the order in which they come up."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def neighbours(docs: DataFrame, text_col: str, types, of: np.ndarray, frequent: int, tails: int, classes: int) -> DataFrame:
     """(word, dense, held) of each word outside the exchange: contexts before and after it, several rows a word.
 
@@ -162,54 +189,49 @@ def neighbours(docs: DataFrame, text_col: str, types, of: np.ndarray, frequent:
     end = frequent + tails
 
     def work(batches):
-        cache = _Types(types.value, frequent, tails)
-        cache[None] = end
-        names = _Numbers()
+        first, of_type = pa.array(list(types.value), pa.binary()), of.astype(np.uint8)
+        keys: list[pa.Array] = []
         at: list[np.ndarray] = []
         codes: list[np.ndarray] = []
 
-        def take(words: list[bytes | None]):
-            t = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+        def take(words: pa.Array, tokens: np.ndarray):
+            t = np.r_[_types(words, first, frequent, tails), end]
             mine = (t >= frequent) & (t < end)
-            at.append(np.fromiter(map(names.__getitem__, compress(words, mine.tolist())), np.int64, int(mine.sum())))
-            c, here = of[t].astype(np.uint8), np.flatnonzero(mine)
+            c, here = of_type[t][tokens], np.flatnonzero(mine[tokens])
+            at.append((np.cumsum(mine) - 1 + sum(map(len, keys)))[tokens[here]])
             codes.append(np.column_stack([c[here - 1], c[here + 1] + np.uint8(classes)]))
+            keys.append(words.filter(pa.array(mine[:-1])))
 
         def out():
-            w, x = np.concatenate(at), np.concatenate(codes)
+            names = pa.concat_arrays(keys).dictionary_encode()
+            w, x = names.indices.to_numpy()[np.concatenate(at)], np.concatenate(codes)
+            names = names.dictionary
             x = x[np.argsort(w, kind="stable")]
             many = np.bincount(w, minlength=len(names))
-            keys, edge = pa.array(list(names), pa.binary()), np.r_[0, np.cumsum(many)]
+            edge = np.r_[0, np.cumsum(many)]
             long = 2 * many > 16 * classes
             for k in np.flatnonzero(long).tolist():
                 held = np.bincount(x[edge[k] : edge[k + 1]].ravel(), minlength=2 * classes).astype(np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([keys.slice(k, 1), pa.array([True]), pa.array([held], pa.binary())], names=["word", "dense", "held"])
+                yield pa.RecordBatch.from_arrays([names.slice(k, 1), pa.array([True]), pa.array([held], pa.binary())], names=["word", "dense", "held"])
             few = np.flatnonzero(~long)
             x = np.ascontiguousarray(x[~np.repeat(long, many)]).ravel()
             ends = np.r_[0, 2 * np.cumsum(many[few])].astype(np.int32)
             held = pa.Array.from_buffers(pa.binary(), len(few), [None, pa.py_buffer(ends), pa.py_buffer(x)])
-            keys = keys.take(pa.array(few))
+            names = names.take(pa.array(few))
             for k in range(0, len(few), 100_000):
-                yield pa.RecordBatch.from_arrays([keys.slice(k, 100_000), pa.array(np.zeros(len(keys.slice(k, 100_000)), bool)), held.slice(k, 100_000)], names=["word", "dense", "held"])
-            names.clear()
+                yield pa.RecordBatch.from_arrays([names.slice(k, 100_000), pa.array(np.zeros(len(names.slice(k, 100_000)), bool)), held.slice(k, 100_000)], names=["word", "dense", "held"])
+            keys.clear()
             at.clear()
             codes.clear()
 
-        words, size = [None], 0
-        for batch in batches:
-            for text in batch.column(0):
-                words += text.as_py().lower().split()
-                words.append(None)
-                if len(words) > 200_000:
-                    take(words)
-                    size += len(words)
-                    words = [None]
-                    if size > 4_000_000:
-                        yield from out()
-                        size = 0
-        if len(words) > 1:
-            take(words)
-        if at:
+        size = 0
+        for _, words, tokens in _spelled(batches):
+            take(words, tokens)
+            size += len(tokens)
+            if size > 4_000_000 or sum(k.nbytes for k in keys) > 1 << 28:
+                yield from out()
+                size = 0
+        if keys:
             yield from out()
 
     return docs.select(text_bytes(text_col).alias("text")).mapInArrow(work, "word binary, dense boolean, held binary")
@@ -235,9 +257,10 @@ def placed(contexts: DataFrame, m: np.ndarray, of: np.ndarray, frequent: int, ta
             fit = lft @ before + rgt @ after
             fit[:, 0] = -np.inf  # of the end
             c, rare = fit.argmax(1), np.flatnonzero(n < least)
-            c[rare] = of[[_tail_type(w, frequent, tails) for w in words.take(pa.array(rare)).to_pylist()]] if len(rare) else 0
-            for k in range(classes):
-                total[k, :classes] += lft[c == k].sum(0)
+            c[rare] = of[_tail_types(words.take(pa.array(rare)), frequent, tails)]
+            one = np.zeros((len(c), classes))
+            one[np.arange(len(c)), c] = 1
+            total[:, :classes] += (one.T @ lft).astype(np.int64)
             total[:, classes] += np.bincount(c, n, classes).astype(np.int64)
             total[:, classes + 1] += np.bincount(c, minlength=classes)
             return pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(c.astype(np.int32)), pa.array([None] * len(n), pa.list_(pa.int64()))], names=["word", "n", "cls", "sums"])
@@ -301,21 +324,9 @@ def fit(docs: DataFrame, text_col: str = "text", classes: int = 48, frequent: in
     types = docs.sparkSession.sparkContext.broadcast({w: i for i, (_, w) in enumerate(top[:frequent])})
 
     def pairs(batches):
-        cache = _Types(types.value, frequent, tails)
-        total, held, size = np.zeros(n_types * n_types, np.int64), [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                w = text.as_py().lower().split()
-                held += [end, *map(cache.__getitem__, w)]
-                size += len(w) + 1
-                if size > 1 << 20:
-                    held.append(end)
-                    x = np.array(held, np.int64)
-                    total += np.bincount(x[:-1] * n_types + x[1:], minlength=len(total))
-                    held, size = [], 0
-        if held:
-            held.append(end)
-            x = np.array(held, np.int64)
+        first, total = pa.array(list(types.value), pa.binary()), np.zeros(n_types * n_types, np.int64)
+        for _, words, tokens in _spelled(batches):
+            x = np.r_[_types(words, first, frequent, tails), end][tokens]
             total += np.bincount(x[:-1] * n_types + x[1:], minlength=len(total))
         at = np.flatnonzero(total)
         for k in range(0, len(at), 100_000):
@@ -362,69 +373,49 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     also = also or {}
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.context, model.table))
     end, frequent, tails = model.end, model.frequent, model.tails
-    first = model.first
+    # What a token adds: log10(count + 1) and its class, for frequent words, the end and all others.
+    logs = np.log10(np.array([*(n for n, _ in model.known.values()), end, 0], np.int64) + 1)
+    cls = np.array([*(c for _, c in model.known.values()), 0, 0])
+    shared = docs.sparkSession.sparkContext.broadcast((list(model.known), list(model.first), logs, cls, model.context, model.table))
 
     def work(batches):
-        known, of, table = shared.value
-        tail = of[frequent : frequent + tails].tolist()
-        # What a token adds: log10(count + 1), its class, and its class as a context.
-        order = list(known)
-        logs = np.array([*(np.log10(known[w][0] + 1) for w in order), 0.0])
-        cls = np.array([*(known[w][1] for w in order), 0])
-
-        class Places(dict):
-            def __missing__(self, w):
-                return len(order)
-
-        class Contexts(dict):
-            def __missing__(self, w):
-                return tail[zlib.crc32(w[-2:]) % tails]
-
-        place, context = Places({w: i for i, w in enumerate(order)}), Contexts(first)
-        names = ["row", "word", "before", "cls", "n_tokens", "n_known", "logs", "steps"]
-        for batch in batches:
-            cols = [[] for _ in names]
-
-            def put(*v):
-                for c, x in zip(cols, v, strict=True):
-                    c.append(x)
-
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                w = text.as_py().lower().split()
-                at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-                d = np.concatenate(([0], np.fromiter(map(context.__getitem__, w), np.int64, len(w))))
-                is_rare = at == len(order)
-                met = ~is_rare
-                steps = table[d[:-1][met], cls[at[met]]].sum() + table[d[-1], 0]
-                put(row, b" %d" % row, None, None, len(w) + 1, int(met.sum()) + (end > 0), float(logs[at[met]].sum() + np.log10(end + 1)), float(steps))
-                rare: dict[bytes, list[int]] = {}
-                for i in np.flatnonzero(is_rare).tolist():
-                    rare.setdefault(w[i], []).append(int(d[i]))
-                for x, before in rare.items():
-                    put(row, x, before, tail[zlib.crc32(x[-2:]) % tails], None, None, None, None)
-                if len(cols[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
-                    cols = [[] for _ in names]
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
-
-    types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        known, first, logs, cls, of, table = shared.value
+        known, first, classes = pa.array(known, pa.binary()), pa.array(first, pa.binary()), len(table)
+        for rows, words, codes in _spelled(batches, 1):
+            rows, last = rows.column(0).to_numpy(), len(words)
+            c = np.r_[of[_types(words, first, frequent, tails)], 0]  # as a context
+            place = np.r_[pc.index_in(words, value_set=known).fill_null(-1).to_numpy(), len(known)]
+            before, n = c[codes[:-1]], codes[1:]
+            x, ends = place[n], np.flatnonzero(n == last) + 1
+            rare, begin = x < 0, np.r_[0, ends[:-1]]
+            text = np.repeat(np.arange(len(rows)), ends - begin)
+            steps = np.where(rare, 0.0, table[before, cls[x]])
+            # Pairwise sums, which stay exact enough for texts of any length.
+            own = [ends - begin, np.add.reduceat(~rare, begin, dtype=np.int64) - (end == 0), np.add.reduceat(logs[x], begin), np.add.reduceat(steps, begin)]
+            at, many = np.unique((text[rare] * last + n[rare]) * classes + before[rare], return_counts=True)
+            at, before = np.divmod(at, classes)
+            text, n = np.divmod(at, max(last, 1))
+            keys = pa.concat_arrays([pa.array([b" %d" % r for r in rows.tolist()], pa.binary()), words.take(pa.array(n))])
+            told, none = np.arange(len(keys)) >= len(rows), np.zeros(len(n))
+            columns = [np.r_[rows, rows[text]], keys, np.r_[0 * rows, before], np.r_[0 * rows, c[n]], np.r_[own[0], many], np.r_[own[1], 0 * many], np.r_[own[2], none], np.r_[own[3], none]]
+            out = pa.RecordBatch.from_arrays([x if i == 1 else pa.array(x, t, mask=~told if i == 2 else None) for i, (x, t) in enumerate(zip(columns, kinds, strict=True))], names=fields)
+            for k in range(0, len(out), 100_000):
+                yield out.slice(k, 100_000)
+
+    fields = ["row", "word", "before", "cls", "many", "n_known", "logs", "steps"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     base = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text_bytes(text_col).alias("text"), *[c.alias(f"also_{k}") for k, c in also.items()])
-    spelled = base.select("row", "text").mapInArrow(work, "row long, word binary, before array<int>, cls int, n_tokens long, n_known long, logs double, steps double")
-    # A text's own row has a key that no word has, so that rows spread evenly.
+    spelled = base.select("row", "text").mapInArrow(work, "row long, word binary, before int, cls int, many long, n_known long, logs double, steps double")
+    # A text's own row has a key that no word has, so that rows spread evenly. Others: a rare word, many times after a context.
     rare = model.words.where(F.col("n") < model.least).withColumnRenamed("cls", "own")
     met = spelled.join(rare, "word", "left")
-    many, width = F.size("before"), model.table.shape[1]
-    table = F.lit(model.table.ravel().tolist())
-    cls = F.coalesce("own", "cls")
-    step = F.aggregate("before", F.lit(0.0), lambda a, d: a + F.get(table, d * width + cls))
     told = F.col("before").isNotNull()
+    hit = told & F.col("n").isNotNull()
+    step = F.get(F.lit(model.table.ravel().tolist()), F.col("before") * model.table.shape[1] + F.coalesce("own", "cls"))
     parts = met.groupBy("row").agg(
-        F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(told & F.col("n").isNotNull(), many).otherwise(0))).alias("n_known"),
-        (F.max("logs") + F.sum(F.when(told & F.col("n").isNotNull(), many * F.log10(F.col("n") + 1)).otherwise(0.0))).alias("logs"),
-        (F.max("steps") + F.sum(F.when(told, step).otherwise(0.0))).alias("steps"),
+        F.sum(F.when(told, 0).otherwise(F.col("many"))).alias("n_tokens"), F.sum(F.when(hit, F.col("many")).otherwise(F.col("n_known"))).alias("n_known"),
+        F.sum(F.when(hit, F.col("many") * F.log10(F.col("n") + 1)).otherwise(F.col("logs"))).alias("logs"), F.sum(F.when(told, F.col("many") * step).otherwise(F.col("steps"))).alias("steps"),
     )
     head = base.drop("text").join(parts, "row")
     unit = float(np.log10(model.tokens + model.distinct + 1))

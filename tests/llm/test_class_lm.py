@@ -4,8 +4,10 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,69 @@ def test_held_out_gain(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     out = class_lm.score(docs.where(held), class_lm.fit(docs.where(~held))).agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
+
+
+class Batches:
+    """Takes the place of a table of texts: what a worker makes of them, in this process."""
+
+    def __init__(self, *batches):
+        self.batches = [pa.record_batch([pa.array([t.encode() for t in b], pa.binary())], ["text"]) for b in batches]
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, work, _):
+        return [r for batch in work(iter(self.batches)) for r in batch.to_pylist()]
+
+
+def test_endings_are_not_looked_at_for_each_token(spark, monkeypatch):
+    """Neighbours of each word by loops; a word's ending costs nothing each time it comes up."""
+    asked, ask = [0], class_lm._tail_type
+
+    def counted(*x):
+        asked[0] += 1
+        return ask(*x)
+
+    monkeypatch.setattr(class_lm, "_tail_type", counted)
+    batches = [["the cat sat", "", "a " * 150_000], ["the cat", " THE  rat sat "], ["cat"] * 50_000]
+    of, frequent, tails, classes = np.array([1, 2, 3, 1, 2, 0]), 2, 3, 4
+    got = {}
+    for r in class_lm.neighbours(Batches(*batches), "text", SimpleNamespace(value={b"the": 0, b"sat": 1}), of, frequent, tails, classes):
+        held = np.frombuffer(r["held"], np.int64) if r["dense"] else np.bincount(np.frombuffer(r["held"], np.uint8), minlength=2 * classes)
+        got[r["word"]] = got.get(r["word"], 0) + held
+    assert asked[0] < 100_000
+    want = {}
+    for t in (t for b in batches for t in b):
+        types = [5, *({b"the": 0, b"sat": 1, None: 5}.get(w, -1) for w in tokens(t))]
+        types = [ask(w, frequent, tails) if x < 0 else x for w, x in zip([None, *tokens(t)], types, strict=True)]
+        for i, w in enumerate(tokens(t)[:-1], 1):
+            if w not in (b"the", b"sat"):
+                x = want.setdefault(w, np.zeros(2 * classes, int))
+                x[of[types[i - 1]]] += 1
+                x[classes + of[types[i + 1]]] += 1
+    assert {w: x.tolist() for w, x in got.items()} == {w: x.tolist() for w, x in want.items()}
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 1 << 20])
+def test_words_are_those_of_ascii_white_space(size):
+    texts = [t or "" for _, t in ODD] + ["\t\n\x0b\x0c\r a\x0b\x0bB \x1c\x1d\x85\xa0\u2003É\x00 ", "İK \u212a", "", " " * 1000 + "x" + "\r\n" * 500, "z" * 5000]
+    batch = pa.record_batch([pa.array(range(len(texts) + 1)), pa.array([b"sliced off", *(t.encode() for t in texts)], pa.binary())], ["row", "text"]).slice(1)
+    got, seen = [], []
+    for rows, words, codes in class_lm._spelled([batch.slice(0, 0), batch], 1, size):
+        names = [*words.to_pylist(), None]
+        assert len(set(names)) == len(names) and names[codes[0]] is None
+        got += [names[c] for c in codes[1:]]
+        seen += rows.column(0).to_pylist()
+    assert got == [w for t in texts for w in tokens(t)] and seen == list(range(1, len(texts) + 1))
+
+
+def test_scores_of_texts_over_several_pieces(make):
+    """Texts longer than a worker takes together, with words that are frequent, rare and unseen."""
+    train = ["one two three two one", "two two rare rarer rare", "three one two"]
+    model = class_lm.fit(make(list(enumerate(train)), "train"), classes=3, frequent=2, tails=3, looked_up=2)
+    rows = [(1, "rare one unseen  two\n" * 250_000), (2, "rarer" + " " * (class_lm.BYTES * 2) + "one"), (3, "Two " * 1_100_000 + "rare"), (4, "one rare")]
+    out = class_lm.score(make(rows), model).collect()
+    held_to_base(rows, train, out)
+    counts = Counter(x for t in train for x in tokens(t))
+    short = [r for r in rows if r[0] in (2, 4)]
+    assert {r.doc_id: round(r.score, 6) for r in out if r.doc_id in (2, 4)} == {i: round(slow_score(model, t, counts), 6) for i, t in short}
