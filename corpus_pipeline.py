@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import decontaminate, exact_dedup, lang_id, packing, simhash_dedup
-from lodestar.llm.common import shared_folder
+from lodestar.llm.common import shared_folder, small_batches
 from lodestar.llm.queries import vocabulary
 
 
@@ -15,6 +15,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model learns from the lang column; where no row has one, only the first two are
     rejected. Repeated rows, null ids and further columns pass through.
     """
+    small_batches(spark)
     return lang_id.keep_known(docs, lang_id.train(docs), least=0.5)
 
 
@@ -28,6 +29,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Deletion variants of SimHash segments propose the links, the sets of shingles decide.
     """
+    small_batches(spark)
     return simhash_dedup.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
@@ -38,6 +40,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences; no documents, no pieces."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 
@@ -37,6 +38,36 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Bytes of an Arrow batch that Spark makes for a worker.
+BATCH = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at BATCH bytes, unless they ended sooner.
+
+    Otherwise they end at 10,000 rows or 64 MB: some 20 MB of texts, which stand in the JVM, whose
+    allocator keeps such room, and again in the worker. Results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
+def freed(work):
+    """work, for mapInArrow, after whose last row the worker gives unused memory back to the system.
+
+    Spark keeps a worker for later tasks, and for a minute without any, beside a JVM that needs the room.
+    """
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return run
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A name like `name` that no column of docs has, in whatever case."""
     taken = {c.lower() for c in docs.columns}

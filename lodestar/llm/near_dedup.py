@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, only, text_bytes
+from .common import components, cut, freed, only, text_bytes
 
 SEGMENTS, WIDTH, CHECK, RADIUS, FIRST = 80, 20, 128, 41, 8
 HALF = WIDTH // 2
@@ -86,7 +86,7 @@ def _signed(docs: DataFrame, words: int, seed: int, id_col: str, text_col: str)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(make, f"id {kind}, row long, n int, digest binary, fp binary")
+    return rows.mapInArrow(freed(make), f"id {kind}, row long, n int, digest binary, fp binary")
 
 
 def _halves(start: int, stop: int):
@@ -239,9 +239,9 @@ def candidates(nodes: DataFrame, similarity: float, most: int) -> tuple[DataFram
     able = nodes.where(F.lit(1 - similarity) * F.col("n") >= similarity - 1e-9)  # a smaller set is like none but itself
 
     def found(nodes: DataFrame, start: int, stop: int) -> DataFrame:
-        halves = nodes.select("node", "n", "peers", "fp").mapInArrow(_halves(start, stop), "key long, node long, peers long, c0 long, c1 long")
+        halves = nodes.select("node", "n", "peers", "fp").mapInArrow(freed(_halves(start, stop)), "key long, node long, peers long, c0 long, c1 long")
         dealt = halves.repartition(F.shiftrightunsigned("key", 32 + HALF)).sortWithinPartitions("key")
-        return cut(dealt.mapInArrow(_meet(similarity, most), "key long, a long, n_a int, b long, n_b int"))
+        return cut(dealt.mapInArrow(freed(_meet(similarity, most)), "key long, a long, n_a int, b long, n_b int"))
 
     def crowded(rows: DataFrame) -> DataFrame:
         return rows.where("key is not null").select("key", F.col("a").alias("node"), F.col("n_a").alias("n"), F.col("n_b").alias("many"))
@@ -272,7 +272,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, seed: int, text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, 256), pa.array(held, pa.list_(pa.int64()))], names=["node", "held"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("node"), text_bytes(text_col).alias("text"))
-    return rows.join(nodes, "node", "left_semi").mapInArrow(make, "node long, held array<long>")
+    return rows.join(nodes, "node", "left_semi").mapInArrow(freed(make), "node long, held array<long>")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes
+from .common import cut, freed, text_bytes
 from .tokens import ids_each
 
 #: Sequences at the end of a plan that the search takes apart, and fillings it looks at. Both bound time, not what is packed.
@@ -226,7 +226,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, id_col: str, text_col: s
             at, k, start, length, crc = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(encode, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(freed(encode), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 20_000) -> DataFrame:

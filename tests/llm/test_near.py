@@ -1,6 +1,8 @@
 """Near copies by Jaccard similarity, and the pipeline, against all pairs."""
 
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +149,49 @@ def test_components_of_few_links_take_one_checkpoint(spark, monkeypatch, few):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.known_language, corpus_pipeline.near_copies, corpus_pipeline.packed])
+def test_stages_send_small_batches_to_workers(spark, make, stage):
+    """Texts of 13 MB go in batches of 2 MB at most but for the row that ends one; a smaller limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = make([(k, f"word {k} ") for k in range(300)]).coalesce(1).select(F.repeat("text", 5000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    try:
+        stage(spark, make([(1, "one two three", "en")], "few"), "")
+        assert max(r.size for r in texts.mapInArrow(sizes, "size long").collect()) < 2.2 * 2**20
+        spark.conf.set(key, "64k")
+        stage(spark, make([(1, "one two three", "en")], "few"), "")
+        assert spark.conf.get(key) == "64k"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_workers_give_memory_back():
+    """40 MB in small pieces, freed below one that is still held, stay with the process unless they are given back."""
+    code = """
+import re, sys
+from lodestar.llm import common
+own = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+kept = []
+def work(batches):
+    for _ in batches:
+        held = [bytes(4000) for _ in range(10_000)]
+        kept.append(bytes(4000))
+        del held
+        yield own()
+run = common.freed(work) if sys.argv[1] == "freed" else work
+before = own()
+list(run([0]))
+print(own() - before)
+"""
+    left = {how: float(subprocess.run([sys.executable, "-c", code, how], capture_output=True, text=True, check=True).stdout) for how in ("plain", "freed")}
+    assert left["plain"] > 30 and left["freed"] < 10
+
+
 def test_near_copies_of_odd_rows(odd, empty):
     kept = near_dedup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
